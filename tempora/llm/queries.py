@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe_roundtrip
 from .packing import op1_pack
+from .secrets import op8_secrets
+from .toxicity import op5_toxicity
+from .urls import OP9_SQL, op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
+        "op5_toxicity": op5_toxicity,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
+        "op8_secrets": op8_secrets,
+        "op9_url_filter": op9_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filter": OP9_SQL}
