@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe_roundtrip
+from .lines import OP3_SQL, op3_line_dedup
 from .packing import op1_pack
+from .quality import OP2_SQL, op2_quality
 from .secrets import op8_secrets
 from .toxicity import op5_toxicity
 from .urls import OP9_SQL, op9_url_filter
@@ -16,6 +18,8 @@ from .urls import OP9_SQL, op9_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
+        "op2_quality": op2_quality,
+        "op3_line_dedup": op3_line_dedup,
         "op5_toxicity": op5_toxicity,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
         "op8_secrets": op8_secrets,
@@ -24,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL}
+    return {"op2_quality": OP2_SQL, "op3_line_dedup": OP3_SQL, "op9_url_filter": OP9_SQL}
