@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe_roundtrip
 from .lines import OP3_SQL, op3_line_dedup
+from .minhash import op10_near_duplicates
 from .packing import op1_pack
 from .quality import OP2_SQL, op2_quality
 from .secrets import op8_secrets
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
         "op8_secrets": op8_secrets,
         "op9_url_filter": op9_url_filter,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
