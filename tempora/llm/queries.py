@@ -12,6 +12,7 @@ from .minhash import op10_near_duplicates
 from .packing import op1_pack
 from .quality import OP2_SQL, op2_quality
 from .secrets import op8_secrets
+from .substrings import op6_repeats
 from .toxicity import op5_toxicity
 from .urls import OP9_SQL, op9_url_filter
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_line_dedup": op3_line_dedup,
         "op5_toxicity": op5_toxicity,
+        "op6_repeats": op6_repeats,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
         "op8_secrets": op8_secrets,
         "op9_url_filter": op9_url_filter,
