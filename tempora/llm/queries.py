@@ -15,6 +15,7 @@ from .secrets import op8_secrets
 from .substrings import op6_repeats
 from .toxicity import op5_toxicity
 from .urls import OP9_SQL, op9_url_filter
+from .vptree import OP4_SQL, op4_nearest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pack": op1_pack,
         "op2_quality": op2_quality,
         "op3_line_dedup": op3_line_dedup,
+        "op4_nearest": op4_nearest,
         "op5_toxicity": op5_toxicity,
         "op6_repeats": op6_repeats,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
@@ -32,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op3_line_dedup": OP3_SQL, "op9_url_filter": OP9_SQL}
+    return {"op2_quality": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_nearest": OP4_SQL, "op9_url_filter": OP9_SQL}

@@ -16,6 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import doc_texts, table
 
@@ -116,28 +117,32 @@ def redact(text: str, spans, mark: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
-SPANS = "array<struct<kind string, start int, end int, value_start int>>"
+SPANS = ArrayType(StructType([StructField("kind", StringType())] + [StructField(c, IntegerType()) for c in ("start", "end", "value_start")]))
 
 
-def scan(docs: DataFrame, min_bits: float = MIN_BITS, redacted: bool = False) -> DataFrame:
-    """(doc_id, spans, and with `redacted` the text without its secrets) of every whole text, in one pass.
+def scan(docs: DataFrame, min_bits: float = MIN_BITS, rows: bool = False) -> DataFrame:
+    """(doc_id, spans) of every whole text, or with `rows` all columns of `docs`, their texts redacted, and spans; one pass.
 
-    A null or empty text has no spans; ids may be null, rows may repeat.
+    A null or empty text has no spans and stays as it is; ids may be null, rows
+    may repeat.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value_start", pa.int32())]))
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [find(t, min_bits) for t in texts]
-            cols = [batch.column("doc_id"), pa.array([[dict(zip(("kind", "start", "end", "value_start"), s, strict=True)) for s in f] for f in found], kind)]
-            names = ["doc_id", "spans"]
-            if redacted:
-                cols.append(pa.array([redact(t, f) if f else t for t, f in zip(texts, found, strict=True)], pa.string()))
-                names.append("text")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return doc_texts(docs).mapInArrow(run, f"doc_id long, spans {SPANS}" + ", text string" * redacted)
+            found = [find(t, min_bits) if t else [] for t in texts]
+            spans = pa.array([[dict(zip(("kind", "start", "end", "value_start"), s, strict=True)) for s in f] for f in found], kind)
+            if rows:
+                clean = pa.array([redact(t, f) if f else t for t, f in zip(texts, found, strict=True)], pa.string())
+                columns = [clean if name == "text" else column for name, column in zip(batch.schema.names, batch.columns, strict=True)]
+            else:
+                columns = [batch.column("doc_id")]
+            yield pa.RecordBatch.from_arrays([*columns, spans], names=[*(batch.schema.names if rows else ["doc_id"]), "spans"])
+
+    given = docs.select(*[c for c in docs.columns if c != "spans"]) if rows else doc_texts(docs)
+    kept = given.schema.fields if rows else given.schema.fields[:1]
+    return given.mapInArrow(run, StructType([*kept, StructField("spans", SPANS)]))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

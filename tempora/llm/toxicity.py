@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import doc_texts, table
 
@@ -214,6 +215,20 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     return doc_texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def score_rows(docs: DataFrame, model: dict | None) -> DataFrame:
+    """All columns of `docs` and `score`, in one pass without a join."""
+
+    def run(batches):
+        gc.disable()
+        scorer = Scorer(model) if model else None
+        for batch in batches:
+            scores = [scorer.score(t or "") if scorer else 0.0 for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+
+    rows = docs.select(*[c for c in docs.columns if c != "score"])
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
