@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import columns, core, rasters, series, tables  # noqa: F401 - importing registers
+
 FLAGSHIP = "rake_global"
 
 
 def queries() -> dict:
-    return {}
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.SQL)
