@@ -24,7 +24,7 @@ def base64_files(spark: SparkSession, path: str) -> DataFrame:
 
 def lines_backwards(spark: SparkSession, path: str) -> DataFrame:
     """line_no and line, the last line first."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line")).orderBy(F.desc("line_no"))
 
 
@@ -67,7 +67,7 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
 
 def project_save(spark: SparkSession, path: str) -> DataFrame:
     """(id, class_name, type, ts, value) of a saved project: a JSON object of entities whose history is JSON text with keyframes by timestamp."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     entity = "struct<id: string, class_name: string, type: string, history: string, value: string>"
     entries = whole.select(F.explode(F.from_json("value", f"map<string, {entity}>")).alias("id", "e"))
     frames = F.from_json(F.get_json_object("e.history", "$.keyframes"), "map<string, struct<value: array<string>>>")
@@ -141,7 +141,7 @@ def crawl(pages: DataFrame, start: list[str], depth: int) -> DataFrame:
 def find_in_files(spark: SparkSession, folder: str, pattern: str, case: bool = True, whole_word: bool = False) -> DataFrame:
     """(file, line_no, line) of matching lines."""
     wanted = ("" if case else "(?i)") + (rf"\b(?:{pattern})\b" if whole_word else pattern)
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
+    texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return texts.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).where(F.col("line").rlike(wanted))
 
 

@@ -172,3 +172,6 @@ def test_text_files(spark, tmp_path):
     assert {(r["url"], r["depth"]) for r in files.crawl(pages, ["http://a.b/x"], 2).collect()} == {("http://a.b/x", 0), ("http://a.b/y", 1)}
     masks = spark.createDataFrame([("m_-3000_1500.png",), ("bad.png",)], "path string")
     assert [(r["start"], r["end"]) for r in rasters.mask_years(masks).collect()] == [(-3000, 1500)]
+    found = files.find_in_files(spark, str(tmp_path / "a.csv"), "asia", case=False, whole_word=True)
+    assert [r["line_no"] for r in found.collect()] == [1, 2]
+    assert files.replace_in_lines(found, "Asia", "X").first()["replaced"].startswith("X,")
