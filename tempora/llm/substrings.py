@@ -23,7 +23,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .anchors import anchors
 from .common import staged, table
+from .shingles import Powers, mix
 
 SPAN, K = 50, 20
 GROUP_BYTES = 1 << 20
@@ -162,25 +162,43 @@ def _by_bucket(batches) -> Iterator[list[dict]]:
         yield held
 
 
-class Spans:
-    """Collects (doc_id, start, end) rows."""
+class Segments:
+    """Segments in columns: anchor, hash of the bytes, doc_id, start in the text, length; and the bytes, back to back."""
 
-    def __init__(self):
-        self.rows: list[tuple[int, int, int]] = []
+    FIELDS = ("anchor", "code", "doc", "start", "size")
 
-    def batch(self) -> list[pa.Array]:
-        cols = list(zip(*self.rows, strict=True)) or [[], [], []]
-        self.rows = []
-        return [pa.array(list(c), pa.int64()) for c in cols]
+    def __init__(self, columns: list[np.ndarray], body: np.ndarray):
+        self.columns, self.body = columns, body
 
+    @classmethod
+    def joined(cls, parts: list[Segments]) -> Segments:
+        return cls([np.concatenate([p.columns[i] for p in parts]) for i in range(5)], np.concatenate([p.body for p in parts]))
 
-def _collapse(segments: dict, spans: Spans) -> None:
-    """Of equal segments all but those of the least doc_id are covered whole; one is left. Values: [(doc_id, start), …]."""
-    for (_, seg), at in segments.items():
-        if len(at) > 1:
-            at.sort()
-            spans.rows += [(d, s, s + len(seg)) for d, s in at if d > at[0][0]]
-            del at[1:]
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def collapsed(self) -> tuple[Segments, list[np.ndarray]]:
+        """Of equal segments the one of the least doc_id, and the spans (doc, start, end) that the others cover whole; in order of anchor."""
+        anchor, code, doc, start, size = self.columns
+        order = np.lexsort((doc, code, anchor))
+        same = np.zeros(len(order), bool)
+        same[1:] = (anchor[order][1:] == anchor[order][:-1]) & (code[order][1:] == code[order][:-1])
+        head = np.flatnonzero(~same)
+        least = doc[order][head][np.cumsum(~same) - 1] if len(order) else doc
+        lost = order[same & (doc[order] > least)]
+        return self.taken(order[head]), [doc[lost], start[lost], start[lost] + size[lost]]
+
+    def taken(self, rows: np.ndarray) -> Segments:
+        begin = np.cumsum(self.columns[4]) - self.columns[4]
+        size = self.columns[4][rows]
+        out = np.cumsum(size) - size
+        place = np.arange(int(size.sum()), dtype=np.int64) + np.repeat(begin[rows] - out, size)
+        return Segments([c[rows] for c in self.columns], self.body[place])
+
+    def texts(self) -> list[bytes]:
+        ends = np.cumsum(self.columns[4])
+        body = self.body.tobytes()
+        return [body[e - n : e] for e, n in zip(ends.tolist(), self.columns[4].tolist(), strict=True)]
 
 
 def suffix_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,98 +223,111 @@ def suffix_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return order // (width + 1), order % (width + 1)
 
 
-def _intervals(segments: list[bytes], owners: list[tuple[int, int]], spans: Spans) -> None:
-    """Covered spans of distinct segments: in each interval of common prefixes of at least SPAN bytes, all documents but the least lose the string."""
+def _intervals(segments: list[bytes], docs: np.ndarray, base: np.ndarray) -> list[np.ndarray]:
+    """Covered spans (doc, start, end) of distinct segments that begin at `base` in their texts: in each interval of common prefixes of at least SPAN bytes, all documents but the least lose the string."""
     which, offset = suffix_order(segments)
     lengths = np.array([len(s) for s in segments])
     fits = lengths[which] - offset >= SPAN
     # Shorter suffixes between two that fit would end their common prefix before SPAN, so leaving them out is safe.
     which, offset = which[fits], offset[fits]
     if len(which) < 2:
-        return
+        return [np.zeros(0, np.int64)] * 3
     joined = np.frombuffer(b"".join(segments), np.uint8)
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])[which] + offset
     windows = np.lib.stride_tricks.sliding_window_view(joined, SPAN)
     same = np.concatenate([(windows[begin[i + 1 : i + 20001]] == windows[begin[i : i + 20000][: len(begin[i + 1 : i + 20001])]]).all(axis=1) for i in range(0, len(begin) - 1, 20000)])
     group = np.concatenate([[0], np.cumsum(~same)])
-    docs = np.array([owners[i][0] for i in range(len(owners))], np.int64)[which]
     heads = np.concatenate([[0], np.flatnonzero(~same) + 1])
-    lost = docs > np.minimum.reduceat(docs, heads)[group]
-    cuts: dict[int, list[int]] = defaultdict(list)
-    for i, s in zip(which[lost].tolist(), offset[lost].tolist(), strict=True):
-        cuts[i].append(s)
-    for i, starts in cuts.items():
-        doc, base = owners[i]
-        starts.sort()
-        a, b = starts[0], starts[0] + SPAN
-        for s in starts[1:]:
-            if s > b:
-                spans.rows.append((doc, base + a, base + b))
-                a = s
-            b = s + SPAN
-        spans.rows.append((doc, base + a, base + b))
+    lost = docs[which] > np.minimum.reduceat(docs[which], heads)[group]
+    which, offset = which[lost], offset[lost]
+    order = np.lexsort((offset, which))
+    which, offset = which[order], offset[order]
+    opens = np.ones(len(which), bool)
+    opens[1:] = (which[1:] != which[:-1]) | (offset[1:] > offset[:-1] + SPAN)
+    closes = np.append(opens[1:], True)[: len(opens)]
+    i = which[opens]
+    return [docs[i], base[i] + offset[opens], base[i] + offset[closes] + SPAN]
 
 
-SENT = "bucket long, anchor long, doc_id long, start long, segment binary"
+SENT = "bucket long, anchor binary, code binary, doc binary, start binary, size binary, body binary"
 
 
 def covered_spans(located: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, start, end), unmerged, from (doc_id, text, shared), `shared` being a text's shared anchor hashes."""
 
     def cut(batches):
-        # Segments to their bucket; what local copies settle at once travels along as rows without a segment.
-        segments, spans = defaultdict(list), Spans()
+        # Segments go packed to their bucket; the spans that local copies settle at once go along in the same columns, without bytes.
+        powers, held, count = Powers(), [], 0
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids = batch.column("doc_id").to_numpy()
             shared = batch.column("shared")
             for data, bounds, first, places, hashes in _anchors_of(batch.column("text")):
                 doc = np.searchsorted(bounds, places, "right") - 1
-                for i, (a, b) in ((int(doc[a]), (a, b)) for a, b in _slices(doc)):
-                    wanted = shared[first + i].values.to_numpy(zero_copy_only=False).astype(np.uint64)
-                    hit = np.flatnonzero(np.isin(hashes[a:b], wanted)) + a
-                    lo, hi = int(bounds[i]), int(bounds[i + 1])
-                    text = data[lo:hi].tobytes()
-                    for p, h in zip((places[hit] - lo).tolist(), hashes[hit].tolist(), strict=True):
-                        s = max(0, p - (SPAN - K))
-                        segments[(h, text[s : p + SPAN])].append((ids[first + i], s))
-            if len(segments) > 60_000:
-                yield from _sent(segments, spans)
-                segments = defaultdict(list)
-        yield from _sent(segments, spans)
-
-    def _sent(segments, spans):
-        _collapse(segments, spans)
-        rows = [(h % buckets, h, at[0][0], at[0][1], seg) for (h, seg), at in segments.items()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.int64()) for c in cols[:4]), pa.array(list(cols[4]), pa.binary())], names=["bucket", "anchor", "doc_id", "start", "segment"])
-        if spans.rows:
-            doc, start, end = spans.batch()
-            bucket = pa.array([d % buckets for d in doc.to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([bucket, end, doc, start, pa.nulls(len(doc), pa.binary())], names=["bucket", "anchor", "doc_id", "start", "segment"])
+                lists = shared.slice(first, len(bounds) - 1)
+                wanted = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+                sizes = np.diff(lists.offsets.to_numpy())
+                mark = lambda h, d: h | (d.astype(np.uint64) << np.uint64(48))  # noqa: E731 - a run has fewer than 2^16 texts of 50 bytes
+                hit = np.isin(mark(hashes, doc), mark(wanted, np.repeat(np.arange(len(sizes)), sizes)))
+                if not hit.any():
+                    continue
+                doc, p, h = doc[hit], places[hit], hashes[hit]
+                a, b = np.maximum(bounds[doc], p - (SPAN - K)), np.minimum(bounds[doc + 1], p + SPAN)
+                up, down = powers.upto(len(data) + 1)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+                code = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+                size = b - a
+                gather = np.arange(int(size.sum()), dtype=np.int64) + np.repeat(a - (np.cumsum(size) - size), size)
+                held.append(Segments([h.astype(np.int64), code.view(np.int64), ids[first + doc], a - bounds[doc], size], data[gather]))
+                count += len(h)
+                if count >= 150_000:
+                    yield _sent(held)
+                    held, count = [], 0
+        if held:
+            yield _sent(held)
+
+    def _sent(held):
+        segments, spans = Segments.joined(held).collapsed()
+        bucket = segments.columns[0] % buckets
+        segments = segments.taken(np.argsort(bucket, kind="stable"))
+        bucket = segments.columns[0] % buckets
+        ends = np.cumsum(segments.columns[4])
+        rows = []
+        for a, b in _slices(bucket):
+            body = segments.body[ends[a] - segments.columns[4][a] : ends[b - 1]]
+            rows.append((int(bucket[a]), *(np.ascontiguousarray(c[a:b]).tobytes() for c in segments.columns), body.tobytes()))
+        if len(spans[0]):
+            rows.append((int(spans[0][0] % buckets), None, None, *(x.astype(np.int64).tobytes() for x in spans), None))
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=[x.split()[0] for x in SENT.split(", ")])
 
     def build(batches):
-        spans = Spans()
+        numbers = lambda x: np.frombuffer(x, np.int64)
         for rows in _by_bucket(batches):
-            segments = defaultdict(list)
+            parts = []
             for r in rows:
-                if r["segment"] is None:
-                    spans.rows.append((r["doc_id"], r["start"], r["anchor"]))
+                columns = [numbers(r[c]) for c in Segments.FIELDS if r[c] is not None]
+                if r["anchor"] is None:
+                    yield _rows(columns)
                 else:
-                    segments[(r["anchor"], r["segment"])].append((r["doc_id"], r["start"]))
-            _collapse(segments, spans)
-            by_anchor = defaultdict(list)
-            for (h, seg), at in segments.items():
-                by_anchor[h].append((seg, at[0]))
-            pool = []
-            for found in by_anchor.values():
-                if len(found) > 1:
-                    pool += found
-                    if len(pool) >= COLLECTION:
-                        _intervals([x[0] for x in pool], [x[1] for x in pool], spans)
-                        pool = []
-            if pool:
-                _intervals([x[0] for x in pool], [x[1] for x in pool], spans)
-            yield pa.RecordBatch.from_arrays(spans.batch(), names=["doc_id", "start", "end"])
+                    parts.append(Segments(columns, np.frombuffer(r["body"], np.uint8)))
+            if not parts:
+                continue
+            segments, spans = Segments.joined(parts).collapsed()
+            yield _rows(spans)
+            anchor = segments.columns[0]
+            cuts = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(anchor)]])
+            several = np.flatnonzero(np.diff(cuts) > 1)
+            pool, count = [], 0
+            for i in several.tolist():
+                pool.append(np.arange(cuts[i], cuts[i + 1]))
+                count += len(pool[-1])
+                if i == several[-1] or count >= COLLECTION:
+                    chosen = segments.taken(np.concatenate(pool))
+                    yield _rows(_intervals(chosen.texts(), chosen.columns[2], chosen.columns[3]))
+                    pool, count = [], 0
+
+    def _rows(spans):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in spans], names=["doc_id", "start", "end"])
 
     return located.mapInArrow(cut, SENT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(build, "doc_id long, start long, end long")
 
