@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
-from ..functions.maps import apply_difference, negative_difference
+from ..functions.maps import negative_difference
 
 EVENT = "date bigint, type string, data map<string,string>"
 
@@ -34,11 +36,36 @@ def _latest(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["id", "date"])
 
 
+def _folded(df: DataFrame, source: str, *order: Column) -> DataFrame:
+    """df with `state`: the maps in `source` of each id laid one over the other in order, null values deleting their keys.
+
+    Rows stream through the task that owns their id, sorted, with one state held
+    at a time, so neither a long history nor a common id is gathered.
+    """
+
+    def run(batches):
+        current, state = object(), {}
+        for batch in batches:
+            states = []
+            for key, entries in zip(batch.column("id").to_pylist(), batch.column(source).to_pylist(), strict=True):
+                if key != current:
+                    current, state = key, {}
+                for k, v in entries or ():
+                    if v is None:
+                        state.pop(k, None)
+                    else:
+                        state[k] = v
+                states.append(list(state.items()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, pa.map_(pa.string(), pa.string()))], names=[*batch.schema.names, "state"])
+
+    rows = df.select(*[c for c in df.columns if c != "state"])
+    schema = StructType([*rows.schema.fields, StructField("state", MapType(StringType(), StringType()))])
+    return rows.repartition("id").sortWithinPartitions("id", *order).mapInArrow(run, schema)
+
+
 def snapshots(events: DataFrame) -> DataFrame:
-    """Each event with the whole state after it: later keys win, null values delete. `state` folds an id's events up to it."""
-    w = Window.partitionBy("id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    chain = F.collect_list("data").over(w)
-    return _latest(events).withColumn("state", F.aggregate(chain, F.create_map().cast("map<string,string>"), apply_difference))
+    """Each event with the whole state after it: later keys win, null values delete."""
+    return _folded(_latest(events), "data", F.col("date"))
 
 
 def reverse_differences(states: DataFrame) -> DataFrame:
@@ -50,9 +77,7 @@ def reverse_differences(states: DataFrame) -> DataFrame:
 
 def resolve(stored: DataFrame) -> DataFrame:
     """States back from reverse differences: from the newest, differences laid over one after the other."""
-    newest = Window.partitionBy("id").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
-    chain = F.collect_list("stored").over(newest)
-    return stored.withColumn("state", F.aggregate(F.slice(chain, 2, 1 << 30), F.get(chain, F.lit(0)), apply_difference))
+    return _folded(stored, "stored", F.desc("date"))
 
 
 def state_at(states: DataFrame, when: Column) -> DataFrame:
