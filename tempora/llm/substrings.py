@@ -9,7 +9,8 @@
    class are dropped.
 3. Around each shared anchor a document is cut to the segment (80 bytes) that
    holds all 50-byte strings containing it. Segments are dealt by anchor; equal
-   ones are collapsed before and after the shuffle onto their least doc_id.
+   ones are collapsed before and after the shuffle onto their least doc_id,
+   which keeps all places where it holds the segment.
 4. The distinct segments of a bucket, in collections of bounded size, go
    through the column-wise construction: in each round one symbol of every
    segment is inserted, right to left, and the transform's symbols, sorted
@@ -162,38 +163,60 @@ def _by_bucket(batches) -> Iterator[list[dict]]:
         yield held
 
 
+def _places(size: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where the entries of the chosen rows lie, if row i has size[i] entries, back to back."""
+    begin = np.cumsum(size) - size
+    n = size[rows]
+    return np.arange(int(n.sum()), dtype=np.int64) + np.repeat(begin[rows] - (np.cumsum(n) - n), n)
+
+
+def _joined_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Spans (doc, start, end) that meet or overlap, as one."""
+    if not len(doc):
+        return [np.zeros(0, np.int64)] * 3
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    base = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])]) * (int(end.max()) + 1)  # sets documents apart
+    reach = np.maximum.accumulate(end + base)
+    opens = np.concatenate([[True], (start + base)[1:] > reach[:-1]])
+    closes = np.append(opens[1:], True)
+    return [doc[opens], start[opens], (reach - base)[closes]]
+
+
 class Segments:
-    """Segments in columns: anchor, hash of the bytes, doc_id, start in the text, length; and the bytes, back to back."""
+    """Segments in columns: anchor, hash of the bytes, doc_id, number of places in the text, length; the places, and the bytes, back to back."""
 
-    FIELDS = ("anchor", "code", "doc", "start", "size")
+    FIELDS = ("anchor", "code", "doc", "times", "size")
 
-    def __init__(self, columns: list[np.ndarray], body: np.ndarray):
-        self.columns, self.body = columns, body
+    def __init__(self, columns: list[np.ndarray], starts: np.ndarray, body: np.ndarray):
+        self.columns, self.starts, self.body = columns, starts, body
 
     @classmethod
     def joined(cls, parts: list[Segments]) -> Segments:
-        return cls([np.concatenate([p.columns[i] for p in parts]) for i in range(5)], np.concatenate([p.body for p in parts]))
+        return cls([np.concatenate([p.columns[i] for p in parts]) for i in range(5)], np.concatenate([p.starts for p in parts]), np.concatenate([p.body for p in parts]))
 
     def __len__(self) -> int:
         return len(self.columns[0])
 
     def collapsed(self) -> tuple[Segments, list[np.ndarray]]:
-        """Of equal segments the one of the least doc_id, and the spans (doc, start, end) that the others cover whole; in order of anchor."""
-        anchor, code, doc, start, size = self.columns
+        """Of equal segments the one of the least doc_id, with all its places there, and the spans (doc, start, end) that the others cover whole; in order of anchor."""
+        anchor, code, doc, times, size = self.columns
         order = np.lexsort((doc, code, anchor))
         same = np.zeros(len(order), bool)
         same[1:] = (anchor[order][1:] == anchor[order][:-1]) & (code[order][1:] == code[order][:-1])
         head = np.flatnonzero(~same)
         least = doc[order][head][np.cumsum(~same) - 1] if len(order) else doc
-        lost = order[same & (doc[order] > least)]
-        return self.taken(order[head]), [doc[lost], start[lost], start[lost] + size[lost]]
+        other = doc[order] > least
+        lost, own = order[other], order[~other]
+        out = self.taken(order[head])
+        if len(own):
+            out.columns[3] = np.add.reduceat(times[own], np.flatnonzero(~same[~other]))
+            out.starts = self.starts[_places(times, own)]
+        start = self.starts[_places(times, lost)]
+        return out, _joined_spans(np.repeat(doc[lost], times[lost]), start, start + np.repeat(size[lost], times[lost]))
 
     def taken(self, rows: np.ndarray) -> Segments:
-        begin = np.cumsum(self.columns[4]) - self.columns[4]
-        size = self.columns[4][rows]
-        out = np.cumsum(size) - size
-        place = np.arange(int(size.sum()), dtype=np.int64) + np.repeat(begin[rows] - out, size)
-        return Segments([c[rows] for c in self.columns], self.body[place])
+        return Segments([c[rows] for c in self.columns], self.starts[_places(self.columns[3], rows)], self.body[_places(self.columns[4], rows)])
 
     def texts(self) -> list[bytes]:
         ends = np.cumsum(self.columns[4])
@@ -223,8 +246,9 @@ def suffix_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return order // (width + 1), order % (width + 1)
 
 
-def _intervals(segments: list[bytes], docs: np.ndarray, base: np.ndarray) -> list[np.ndarray]:
-    """Covered spans (doc, start, end) of distinct segments that begin at `base` in their texts: in each interval of common prefixes of at least SPAN bytes, all documents but the least lose the string."""
+def _intervals(distinct: Segments) -> list[np.ndarray]:
+    """Covered spans (doc, start, end) of distinct segments, at all their places: in each interval of common prefixes of at least SPAN bytes, all documents but the least lose the string."""
+    segments, docs, times = distinct.texts(), distinct.columns[2], distinct.columns[3]
     which, offset = suffix_order(segments)
     lengths = np.array([len(s) for s in segments])
     fits = lengths[which] - offset >= SPAN
@@ -246,10 +270,11 @@ def _intervals(segments: list[bytes], docs: np.ndarray, base: np.ndarray) -> lis
     opens[1:] = (which[1:] != which[:-1]) | (offset[1:] > offset[:-1] + SPAN)
     closes = np.append(opens[1:], True)[: len(opens)]
     i = which[opens]
-    return [docs[i], base[i] + offset[opens], base[i] + offset[closes] + SPAN]
+    start = distinct.starts[_places(times, i)]
+    return _joined_spans(np.repeat(docs[i], times[i]), start + np.repeat(offset[opens], times[i]), start + np.repeat(offset[closes] + SPAN, times[i]))
 
 
-SENT = "bucket long, anchor binary, code binary, doc binary, start binary, size binary, body binary"
+SENT = "bucket long, anchor binary, code binary, doc binary, times binary, size binary, starts binary, body binary"
 
 
 def covered_spans(located: DataFrame, buckets: int) -> DataFrame:
@@ -277,7 +302,7 @@ def covered_spans(located: DataFrame, buckets: int) -> DataFrame:
                 code = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
                 size = b - a
                 gather = np.arange(int(size.sum()), dtype=np.int64) + np.repeat(a - (np.cumsum(size) - size), size)
-                held.append(Segments([h.astype(np.int64), code.view(np.int64), ids[first + doc], a - bounds[doc], size], data[gather]))
+                held.append(Segments([h.astype(np.int64), code.view(np.int64), ids[first + doc], np.ones(len(h), np.int64), size], a - bounds[doc], data[gather]))
                 count += len(h)
                 if count >= 150_000:
                     yield _sent(held)
@@ -290,14 +315,14 @@ def covered_spans(located: DataFrame, buckets: int) -> DataFrame:
         bucket = segments.columns[0] % buckets
         segments = segments.taken(np.argsort(bucket, kind="stable"))
         bucket = segments.columns[0] % buckets
-        ends = np.cumsum(segments.columns[4])
+        places, ends = (np.concatenate([[0], np.cumsum(c)]) for c in segments.columns[3:])
         rows = []
         for a, b in _slices(bucket):
-            body = segments.body[ends[a] - segments.columns[4][a] : ends[b - 1]]
-            rows.append((int(bucket[a]), *(np.ascontiguousarray(c[a:b]).tobytes() for c in segments.columns), body.tobytes()))
+            starts, body = segments.starts[places[a] : places[b]], segments.body[ends[a] : ends[b]]
+            rows.append((int(bucket[a]), *(np.ascontiguousarray(c[a:b]).tobytes() for c in segments.columns), starts.tobytes(), body.tobytes()))
         if len(spans[0]):
-            rows.append((int(spans[0][0] % buckets), None, None, *(x.astype(np.int64).tobytes() for x in spans), None))
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
+            rows.append((int(spans[0][0] % buckets), None, None, *(x.astype(np.int64).tobytes() for x in spans), None, None))
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=[x.split()[0] for x in SENT.split(", ")])
 
     def build(batches):
@@ -309,7 +334,7 @@ def covered_spans(located: DataFrame, buckets: int) -> DataFrame:
                 if r["anchor"] is None:
                     yield _rows(columns)
                 else:
-                    parts.append(Segments(columns, np.frombuffer(r["body"], np.uint8)))
+                    parts.append(Segments(columns, numbers(r["starts"]), np.frombuffer(r["body"], np.uint8)))
             if not parts:
                 continue
             segments, spans = Segments.joined(parts).collapsed()
@@ -322,8 +347,7 @@ def covered_spans(located: DataFrame, buckets: int) -> DataFrame:
                 pool.append(np.arange(cuts[i], cuts[i + 1]))
                 count += len(pool[-1])
                 if i == several[-1] or count >= COLLECTION:
-                    chosen = segments.taken(np.concatenate(pool))
-                    yield _rows(_intervals(chosen.texts(), chosen.columns[2], chosen.columns[3]))
+                    yield _rows(_intervals(segments.taken(np.concatenate(pool))))
                     pool, count = [], 0
 
     def _rows(spans):

@@ -216,6 +216,23 @@ def test_repeated_substrings(spark, docs, texts):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeats_within_a_later_document(spark, docs, parts):
+    rng = random.Random(11)
+    junk = lambda: "".join(rng.choice("abcdefghij ") for _ in range(40))
+    passage, whole = ("".join(rng.choice("klmnopqrst ") for _ in range(n)) for n in (200, 90))
+    least = f"{junk()}{passage}{junk()}{whole[10:70]}{junk()}{'=-' * 40}"
+    later = "".join(f"{junk()}{x}" for x in (passage, whole, passage, whole, "=-" * 90, passage))
+    rows = [(0, least), (1, later), (2, f"{later[30:]}{junk()}{later}")]
+    got = {}
+    df = docs(rows[:1])
+    for row in rows[1:]:
+        df = df.union(docs([row]))  # a partition each
+    for r in substrings.remove_repeats(df.coalesce(parts)).collect():
+        got[r["doc_id"]] = (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+    assert got == brute_repeats(rows)
+
+
 def test_repeats_odd_rows(spark, docs, odd):
     out = substrings.remove_repeats(docs(odd)).collect()
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in out)
