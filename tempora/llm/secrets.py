@@ -25,9 +25,9 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: Words after which a value is a credential, wider than the assignment pattern's.
+#: Words after which a value is a credential, wider than the assignment pattern's. A scheme word after "authorization" is not the value yet.
 CONTEXT = re.compile(
-    r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth(?:orization)?|bearer)["']?\x20{0,8}(?::=|=>|[:=])\x20{0,8}["'`]?([^\s"'`,;<>]{6,200})""",
+    r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|(?P<auth>auth(?:orization)?)|bearer)["']?\x20{0,8}(?::=|=>|[:=])\x20{0,8}["'`]?(?(auth)(?:(?i:bearer|basic)\x20{1,8})?)(?P<value>[^\s"'`,;<>]{6,})""",
     re.ASCII,
 )
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "api", "access", "private", "credential", "auth", "bearer")
@@ -49,6 +49,7 @@ def _char_bits(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 1000)
 
 
+@lru_cache(maxsize=10_000)
 def _span_bits(s: str) -> float | None:
     """Bits to guess s as one word, date or keyboard walk; None if it is none of them."""
     low = s.lower()
@@ -66,25 +67,33 @@ def _span_bits(s: str) -> float | None:
 
 
 @lru_cache(maxsize=10_000)
-def guess_bits(value: str) -> float:
-    """Least bits over all segmentations; a segment beyond the first costs one bit more (where to cut)."""
+def _block_bits(s: str) -> float:
+    one = sum(map(_char_bits, s))
+    known = _span_bits(s) if len(s) > 2 else None
+    return one if known is None else min(one, known)
+
+
+def guess_bits(value: str, enough: float = math.inf) -> float:
+    """Least bits over all segmentations; a segment beyond the first costs one bit more (where to cut). Ends early once they are certain to reach `enough`."""
     n = len(value)
     best = [0.0] + [math.inf] * n
+    run = [0] * (MAX_SPAN + 1)  # by size: how many characters up to here equal the one `size` before them
     for j in range(1, n + 1):
+        # Words are no longer than MAX_SPAN and repeats can end after any block, so some MAX_SPAN neighbours hold a cut that costs no more than the whole.
+        if j % MAX_SPAN == 0 and min(best[j - MAX_SPAN : j]) >= enough:
+            return min(best[j - MAX_SPAN : j])
         best[j] = best[j - 1] + _char_bits(value[j - 1])  # brute force
         for i in range(max(0, j - MAX_SPAN), j - 2):
             cost = _span_bits(value[i:j])
             if cost is not None:
                 best[j] = min(best[j], best[i] + cost + (1 if i else 0))
-        for size in range(1, min(MAX_SPAN, j // 2) + 1):  # value[j - size : j] repeated back to back
-            block, times = value[j - size : j], 1
-            while (times + 1) * size <= j and value[j - (times + 1) * size : j - times * size] == block:
-                times += 1
+        for size in range(1, min(MAX_SPAN, j - 1) + 1):  # value[j - size : j] repeated back to back
+            run[size] = run[size] + 1 if value[j - 1] == value[j - 1 - size] else 0
+            times = run[size] // size + 1
             if times > 1 and times * size > 2:
-                one = sum(map(_char_bits, block))
-                known = _span_bits(block) if size > 2 else None
+                block = value[j - size : j]
                 start = j - times * size
-                best[j] = min(best[j], best[start] + (one if known is None else min(one, known)) + math.log2(times) + (1 if start else 0))
+                best[j] = min(best[j], best[start] + _block_bits(block) + math.log2(times) + (1 if start else 0))
     return best[n]
 
 
@@ -100,8 +109,9 @@ def find(text: str, min_bits: float = MIN_BITS) -> list[tuple[str, int, int, int
     if any(w in low for w in CONTEXT_WORDS) and (":" in text or "=" in text):
         base = list(out)
         for m in CONTEXT.finditer(text):
-            if not any(a < m.end(1) and m.start(1) < b for _, a, b, _ in base) and guess_bits(m[1]) >= min_bits:
-                out.append(("guess", m.start(1), m.end(1), m.start(1)))
+            start, end = m.span("value")
+            if not any(s <= start and end <= b for _, _, b, s in base) and guess_bits(m["value"], min_bits) >= min_bits:
+                out.append(("guess", start, end, start))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

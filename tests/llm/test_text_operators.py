@@ -256,6 +256,17 @@ def test_secrets():
     assert secrets.find("ſecret=abcdefg") == [] and [s[0] for s in secrets.find("SECRET:abcdef")] == ["assign"]
 
 
+def test_secrets_are_redacted_whole():
+    clean = lambda text: secrets.redact(text, secrets.find(text))
+    assert clean("password=hunter42!Zq9$vB7# next") == "password=[SECRET] next"
+    rng = random.Random(8)
+    token = "".join(rng.choice("abcXYZ019$!_") for _ in range(3000))
+    assert clean(f"pwd: {token} next") == "pwd: [SECRET] next" and clean(f"pwd: {'ab' * 150}{token}") == "pwd: [SECRET]"
+    for text in ("Authorization: Bearer {}", "authorization: basic {}", '{{"Authorization": "Bearer {}"}}'):
+        assert clean(text.format("x9$Tq!vR2#mLk")) == text.format("[SECRET]")
+    assert not secrets.find("authorization: bearer password123") and not secrets.find(f"pwd: {'xy' * 5000}") and not secrets.find("Authorization: Bearer")
+
+
 def test_secret_rows(spark, docs, odd):
     out = secrets.scan(docs([*odd, (99, "api_key=abcdef123")]), rows=True).collect()
     assert len(out) == len(odd) + 1 and [r["text"] for r in out if r["doc_id"] == 99] == ["api_key=[SECRET]"]
