@@ -1,7 +1,8 @@
 """Removal of repeated strings of 50 bytes, with column-wise Burrows-Wheeler construction.
 
-1. Texts are UTF-8 bytes. Equal texts are one class; only the row with the
-   least doc_id of a class is looked at further, its copies are covered whole.
+1. Texts are UTF-8 bytes. Equal texts (by sha256) are one class; only the row
+   with the least doc_id of a class is looked at further, its copies are covered
+   whole. Classes go by short names; those that share a name send all anchors on.
 2. Every 50-byte string holds a winnowed anchor (see `anchors`), the same one
    wherever the string occurs. Anchor hashes are dealt by hash, packed many to
    a row; a hash that one task sees in several classes is sent once, so a hot
@@ -43,13 +44,15 @@ SEND_BYTES = 16 << 20
 BUCKET_BYTES = 8 << 20
 #: Segments in one construction (one anchor's segments stay together).
 COLLECTION = 4096
+#: Bits in the name of a class (at most 48); classes may share a name.
+NAME_BITS = 48
 #: Ids that may be broadcast to keep untouched texts out of a shuffle.
 BROADCAST_IDS = 1 << 20
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(text), 16).alias("cls"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.shiftrightunsigned(F.xxhash64(text), 64 - NAME_BITS), F.lit(1)).alias("cls"), text.alias("text"))
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +147,18 @@ def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
     return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "cls long, anchor long")
 
 
+def all_anchors(texts: DataFrame) -> DataFrame:
+    """(cls, anchor) of every anchor."""
+
+    def run(batches):
+        for batch in batches:
+            cls = batch.column("cls").to_numpy()
+            for _, bounds, first, places, hashes in _anchors_of(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(cls[np.searchsorted(bounds, places, "right") - 1 + first]), pa.array(hashes.astype(np.int64))], names=["cls", "anchor"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, anchor long")
+
+
 def _slices(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     if len(keys):
         cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
@@ -377,13 +392,18 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     base = staged(texts.select("doc_id", "cls", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
     total = base.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(96, total // BUCKET_BYTES)
-    first = base.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    shared = staged(shared_anchors(texts.where("doc_id is not null"), buckets), "anchors")
-    lists = shared.groupBy("cls").agg(F.collect_set("anchor").alias("shared")).join(first, "cls")
+    first = base.where("doc_id is not null").groupBy("cls", "sha").agg(F.min("doc_id").alias("doc_id"))
+    anchored = shared_anchors(texts.where("doc_id is not null"), buckets)
+    # What only texts of one name share would seem to be of a single class.
+    clashes = staged(first.groupBy("cls").count().where("count > 1").select("cls"), "clashes")
+    if clashing := clashes.count():
+        anchored = anchored.unionByName(all_anchors(texts.where("doc_id is not null").join(F.broadcast(clashes) if clashing <= BROADCAST_IDS else clashes, "cls", "left_semi")))
+    shared = staged(anchored, "anchors")
+    lists = shared.groupBy("cls").agg(F.collect_set("anchor").alias("shared")).join(first.select("cls", "doc_id").distinct(), "cls")
     located = texts.join(lists, ["doc_id", "cls"]).select("doc_id", "text", "shared")
     spans = staged(covered_spans(located, buckets), "spans")
     touched = staged(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "touched")
-    held = base.join(first.withColumnRenamed("doc_id", "first"), "cls", "left")
+    held = base.join(first.withColumnRenamed("doc_id", "first"), ["cls", "sha"], "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= SPAN)
     whole = held.where(F.coalesce(copy, F.lit(False))).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
     rest = held.where(~F.coalesce(copy, F.lit(False)))
@@ -391,7 +411,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     clean = rest.join(ids, "doc_id", "left_anti").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
     few = touched.count() <= BROADCAST_IDS
     near = texts.join(F.broadcast(ids), "doc_id", "left_semi") if few else texts
-    owned = near.join(touched, "doc_id").join(first.withColumnRenamed("doc_id", "first"), "cls").where("doc_id <= first").select("doc_id", "text", "spans")
+    owned = near.join(touched, "doc_id").withColumn("sha", F.sha2("text", 256)).join(first.withColumnRenamed("doc_id", "first"), ["cls", "sha"]).where("doc_id <= first").select("doc_id", "text", "spans")
 
     def apply(batches):
         for batch in batches:

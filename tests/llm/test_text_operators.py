@@ -233,6 +233,18 @@ def test_repeats_within_a_later_document(spark, docs, parts):
     assert got == brute_repeats(rows)
 
 
+def test_repeats_when_names_clash(spark, docs, monkeypatch):
+    plain = F.shiftrightunsigned
+    monkeypatch.setattr(substrings.F, "shiftrightunsigned", lambda c, _: plain(c, 62))  # names of two bits
+    rng = random.Random(12)
+    junk = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passages = [junk(80) for _ in range(3)]
+    rows = [(i, f"{junk(60)}{passages[i % 3]}{junk(60)}") for i in range(12)] + [(20, junk(100))]
+    rows += [(30, rows[2][1]), (31, rows[12][1])]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(docs(rows)).collect()}
+    assert got == brute_repeats(rows)
+
+
 def test_repeats_odd_rows(spark, docs, odd):
     out = substrings.remove_repeats(docs(odd)).collect()
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in out)
