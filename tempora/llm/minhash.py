@@ -209,16 +209,27 @@ def dense_links(members: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, codes) of the wanted (cls, doc_id) rows, hashed anew from the texts."""
+    """(cls, codes) of the wanted (cls, doc_id) rows, hashed anew from the texts; without a doc_id, texts are found by their class."""
     few = wanted.count() <= BROADCAST_ROWS
-    chosen = doc_texts(docs).join(F.broadcast(wanted) if few else wanted, "doc_id").select("cls", "text")
+    texts = doc_texts(docs)
+    chosen = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("cls", "text")
 
     def run(batches):
         for batch in batches:
             found = [(c, s) for c, s in zip(batch.column("cls").to_pylist(), shingle_sets(batch.column("text")), strict=True) if class_of(s) == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["cls", "codes"])
 
-    return chosen.mapInArrow(run, "cls long, codes binary").dropDuplicates(["cls"])
+    def every(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "codes"])
+
+    found = chosen.mapInArrow(run, "cls long, codes binary")
+    nameless = wanted.where("doc_id is null").select("cls")
+    if not nameless.isEmpty():
+        sets = texts.where("doc_id is null").select("text").mapInArrow(every, "cls long, codes binary")
+        found = found.unionByName(sets.join(F.broadcast(nameless) if few else nameless, "cls", "left_semi"))
+    return found.dropDuplicates(["cls"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -191,6 +191,14 @@ def test_near_duplicates_odd_rows(spark, docs, odd):
     assert minhash.near_duplicates(docs([])).count() == 0
 
 
+def test_near_copies_without_ids(spark, docs):
+    a, b = ([f"{c}{i}" for i in range(100)] for c in "ab")
+    near = lambda words, k: " ".join([*words[:-1], f"end{k}"])
+    rows = [(7, near(a, 0)), (None, near(a, 1)), (None, near(b, 0)), (None, near(b, 1)), (9, near(b, 2)), (None, "alone without an id")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(rows)).collect()}
+    assert got == {(7, 96, 7, True), (None, 96, 7, False), (None, 96, 9, False), (9, 96, 9, True), (None, 1, None, True)}
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
