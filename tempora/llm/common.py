@@ -60,6 +60,15 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """`rows` joined with `few` (at most one row a key), where one key may hold a large part of `rows`.
+
+    Each key is split by a hash of `by` into `salts` parts, and `few` is repeated for each.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    return dealt.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, "_salt"], how).drop("_salt")
+
+
 def doc_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with a null text as the empty one; other columns, whatever their names, go."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

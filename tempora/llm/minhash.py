@@ -1,41 +1,49 @@
 """Near-duplicate groups by HyperMinHash.
 
 1. Each text becomes its set of hashed 5-word shingles (whole text). Texts with
-   equal sets are one class from here on, so exact copies cost one row each.
+   equal sets (by a 128-bit digest) are one class from here on, so exact copies
+   cost one row each.
 2. Sketch of a class: 128 buckets by the top bits of a shingle hash; a bucket
    keeps its least remaining hash as a leading-zero count and mantissa bits, in
    32 bits. Registers are banded by fours; 32 bands miss a pair at similarity
    0.75 with a probability of 5e-6. Bands without any register are not used.
-3. Classes that share a band meet in groups. Groups beyond `BLOCK` members are
-   split into blocks, and blocks meet in pairs of blocks, so a task holds at
-   most 2 * BLOCK sketches. Within a group, the collision-corrected estimate
+3. Classes that share a band are a group. A group is dealt to shards, bounded in
+   members and in shingles; each member is in one shard, so rows stay
+   proportional to the members. In a shard, the collision-corrected estimate
    from the registers drops pairs that lie `SIGMAS` standard errors below the
-   limit. A pair that shares several bands is looked at in the first of them.
-4. Pairs that pass are verified on the full sets. Where a group has more than
-   `DENSE` passing pairs a member, pairs are not emitted: the members' full sets
-   meet in the group and come out as links of a spanning forest, each verified.
-5. Connected components over the verified links, by label propagation with
+   limit, and members without any passing partner leave.
+4. The full sets of the others meet in the shard and come out as links of a
+   spanning forest, each verified: a member already linked to another, at
+   whatever distance, is not compared with it again.
+5. Groups of several shards: one representative of each component meets, in new
+   shards, the representatives of the group's other components, until no round
+   halves their number. What is left, in groups that still hold several
+   components, is compared block by block, large components against each other
+   and against the rest, never within one component. No link is lost.
+6. Connected components over the verified links, by label propagation with
    pointer jumping, staged after every round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_texts, staged, table
+from .common import doc_texts, salted_join, staged, table
 from .shingles import mix, shingle_sets
 
 BUCKET_BITS, MANTISSA_BITS, ROWS = 7, 26, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS
-BLOCK = 1024
+#: Most members, and most shingles over all members, that one shard of a group may hold (one member may be larger).
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 22
 SIGMAS = 5.0
-DENSE = 8
 #: Similarity limit as a fraction: link when PART * union <= WHOLE * intersection.
 PART, WHOLE = 75, 100
 #: This many (class, doc_id) pairs, of 16 bytes, may be broadcast.
@@ -65,17 +73,13 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return np.where(grouped.any(axis=2), key | np.uint64(1), np.uint64(0))
 
 
-def class_of(codes: np.ndarray) -> int:
-    """A signed 64-bit name for a set of hashes; 0 for the empty set."""
-    if not len(codes):
-        return 0
-    with np.errstate(over="ignore"):
-        name = mix(np.array([mix(codes).sum(dtype=np.uint64) + np.uint64(len(codes))], np.uint64)) | np.uint64(1)
-    return int(name.view(np.int64)[0])
+def class_of(codes: np.ndarray) -> bytes:
+    """A 128-bit name for a sorted set of hashes; empty for the empty set."""
+    return blake2b(codes.tobytes(), digest_size=16).digest() if len(codes) else b""
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, regs, bands) of every whole text; cls 0, no registers and no bands without words."""
+    """(doc_id, n_shingles, cls, regs, bands) of every whole text; an empty cls, no registers and no bands without words."""
 
     def run(batches):
         for batch in batches:
@@ -88,35 +92,27 @@ def sketches(docs: DataFrame) -> DataFrame:
                 continue
             keys = band_keys(np.array(regs)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([k[k != 0] for k in keys], pa.list_(pa.int64()))],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([k[k != 0] for k in keys], pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "cls", "regs", "bands"],
             )
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, cls long, regs binary, bands array<long>")
+    return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, cls binary, regs binary, bands array<long>")
 
 
-def _estimates(regs: np.ndarray, keys: np.ndarray, band: int, side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member i, the members j > i that pass the estimate, share `band` as their first band, and (where blocks meet) are of the other block."""
-    apart = side.any() and not side.all()
+def _pass(regs: np.ndarray, filled: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+    """Those of the members `js` whose estimated similarity to member i is not clearly below the limit."""
     accident = 2.0**-MANTISSA_BITS / 3
     limit = PART / WHOLE
-    filled = regs != 0
-    for i in range(len(regs) - 1):
-        js = np.arange(i + 1, len(regs))
-        if apart:
-            js = js[side[js] != side[i]]
-        same = keys[js] == keys[i]
-        same &= keys[i] != 0
-        js = js[keys[i][same.argmax(axis=1)] == band] if len(js) else js
-        if not len(js):
-            continue
-        used = (filled[js] | filled[i]).sum(axis=1)
-        equal = ((regs[js] == regs[i]) & filled[i]).sum(axis=1)
-        raw = equal / used
-        estimate = (raw - accident) / (1 - accident)
-        js = js[estimate >= limit - SIGMAS * np.sqrt(limit * (1 - limit) / used)]
-        if len(js):
-            yield i, js
+    used = (filled[js] | filled[i]).sum(axis=1)
+    equal = ((regs[js] == regs[i]) & filled[i]).sum(axis=1)
+    estimate = (equal / used - accident) / (1 - accident)
+    return js[estimate >= limit - SIGMAS * np.sqrt(limit * (1 - limit) / used)]
+
+
+def _first_here(keys: np.ndarray, band: int, i: int, js: np.ndarray) -> np.ndarray:
+    """Those of `js` that share `band` with member i as the first of their common bands, so that a pair is looked at in one group."""
+    same = (keys[js] == keys[i]) & (keys[i] != 0)
+    return js[keys[i][same.argmax(axis=1)] == band]
 
 
 def _groups(batches, columns: list[str]) -> Iterator[tuple[int, dict[str, list]]]:
@@ -138,74 +134,84 @@ def _groups(batches, columns: list[str]) -> Iterator[tuple[int, dict[str, list]]
         yield current, held
 
 
-def candidate_pairs(members: DataFrame) -> DataFrame:
-    """(grp, band, a, b): pairs that pass the estimate; in dense groups (a: member, b: null) instead, with its side.
+def _numbers(names: list[bytes]) -> np.ndarray:
+    """Equal names by equal numbers."""
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(x, len(seen)) for x in names])
+
 
-    `members` has grp, band, side, cls, regs.
+def partners(members: DataFrame, everywhere: bool = False) -> DataFrame:
+    """(grp, band, side, label, cls): the members of each group that pass the estimate with another one of another label.
+
+    `members` has grp, band, side, label, cls, regs. Where a group has both
+    sides, only members of different sides are compared. A pair counts in the
+    first of its common bands, or `everywhere`. A member known to have a partner
+    is compared only with members not known to have one, so groups of near
+    copies take time in proportion to their size.
     """
 
     def run(batches):
-        out: list[tuple] = []
-        for grp, g in _groups(batches, ["band", "side", "cls", "regs"]):
+        for grp, g in _groups(batches, ["band", "side", "label", "cls", "regs"]):
             n = len(g["cls"])
             regs = np.frombuffer(b"".join(g["regs"]), np.uint32).reshape(n, BUCKETS)
-            side = np.array(g["side"], bool)
-            found, most, dense = [], DENSE * n, False
-            keys = band_keys(regs).view(np.int64)
-            for i, js in _estimates(regs, keys, g["band"][0], side):
-                found += [(g["cls"][i], g["cls"][j]) for j in js]
-                if n > 2 * DENSE and len(found) > most:
-                    dense = True
-                    break
-            if dense:
-                out += [(grp, g["band"][0], s, c, None) for c, s in zip(g["cls"], g["side"], strict=True)]
-            else:
-                out += [(grp, g["band"][0], False, min(p), max(p)) for p in found]
-            if len(out) > 5000:
-                yield _pairs(out)
-                out = []
-        yield _pairs(out)
-
-    def _pairs(rows):
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["grp", "band", "side", "a", "b"])
-
-    return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "grp long, band long, side boolean, a long, b long")
-
-
-def _root(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
-def dense_links(members: DataFrame) -> DataFrame:
-    """(a, b): verified links that connect whatever is linked within a group. `members` has grp, band, side, cls, codes."""
+            filled, keys = regs != 0, band_keys(regs).view(np.int64)
+            side, label, has = np.array(g["side"], bool), _numbers(g["label"]), np.zeros(n, bool)
+            apart = side.any() and not side.all()
+            for i in range(n - 1):
+                js = np.arange(i + 1, n)
+                if has[i]:
+                    js = js[~has[i + 1 :]]
+                js = js[label[js] != label[i]]
+                if apart:
+                    js = js[side[js] != side[i]]
+                if len(js) and not everywhere:
+                    js = _first_here(keys, g["band"][0], i, js)
+                if len(js):
+                    js = _pass(regs, filled, i, js)
+                    has[js] = True
+                    has[i] |= len(js) > 0
+            at = np.flatnonzero(has)
+            if len(at):
+                columns = [pa.array([grp] * len(at), pa.int64()), pa.array([g["band"][0]] * len(at), pa.int64()), pa.array(side[at]), pa.array([g["label"][i] for i in at], pa.binary()), pa.array([g["cls"][i] for i in at], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["grp", "band", "side", "label", "cls"])
+
+    return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "grp long, band long, side boolean, label binary, cls binary")
+
+
+def forest(members: DataFrame, everywhere: bool = False) -> DataFrame:
+    """(a, b): verified links that connect, within each group, whatever is linked and not yet of one label.
+
+    `members` has grp, band, side, label, cls, codes; pairs are those of `partners`.
+    """
 
     def run(batches):
-        for _, g in _groups(batches, ["band", "side", "cls", "codes"]):
+        for _, g in _groups(batches, ["band", "side", "label", "cls", "codes"]):
             sets = [np.frombuffer(x, np.uint64) for x in g["codes"]]
             n, sizes = len(sets), np.array([len(s) for s in sets])
             regs = np.array([registers(s) for s in sets])
-            parent, links = np.arange(n), []
-            for i, js in _estimates(regs, band_keys(regs).view(np.int64), g["band"][0], np.array(g["side"], bool)):
-                js = js[[_root(parent, j) != _root(parent, i) for j in js]]
-                for part in np.array_split(js, max(1, int(sizes[js].sum()) >> 20)):  # about a million hashes at a time
-                    if not len(part):
+            filled, keys = regs != 0, band_keys(regs).view(np.int64)
+            side, of, links = np.array(g["side"], bool), _numbers(g["label"]), []
+            apart = side.any() and not side.all()
+            for i in range(n - 1):
+                js = np.arange(i + 1, n)
+                js = js[(of[js] != of[i]) & (WHOLE * sizes[js] >= PART * sizes[i]) & (WHOLE * sizes[i] >= PART * sizes[js])]
+                if apart:
+                    js = js[side[js] != side[i]]
+                if len(js) and not everywhere:
+                    js = _first_here(keys, g["band"][0], i, js)
+                if len(js):
+                    js = _pass(regs, filled, i, js)
+                for j in js:
+                    if of[j] == of[i]:
                         continue
-                    both = np.concatenate([sets[j] for j in part])
-                    at = np.minimum(np.searchsorted(sets[i], both), sizes[i] - 1)
-                    common = np.add.reduceat((sets[i][at] == both).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[part])[:-1]]))
-                    for j in part[WHOLE * common >= PART * (sizes[part] + sizes[i] - common)]:
-                        x, y = _root(parent, i), _root(parent, j)
-                        if x != y:
-                            parent[x] = y
-                            links.append((g["cls"][i], g["cls"][j]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                    s, t = (sets[i], sets[j]) if sizes[i] >= sizes[j] else (sets[j], sets[i])
+                    common = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
+                    if WHOLE * common >= PART * (len(s) + len(t) - common):
+                        of[of == of[j]] = of[i]
+                        links.append((g["cls"][i], g["cls"][j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
+    return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a binary, b binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -217,38 +223,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             found = [(c, s) for c, s in zip(batch.column("cls").to_pylist(), shingle_sets(batch.column("text")), strict=True) if class_of(s) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["cls", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["cls", "codes"])
 
     def every(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "codes"])
 
-    found = chosen.mapInArrow(run, "cls long, codes binary")
+    found = chosen.mapInArrow(run, "cls binary, codes binary")
     nameless = wanted.where("doc_id is null").select("cls")
     if not nameless.isEmpty():
-        sets = texts.where("doc_id is null").select("text").mapInArrow(every, "cls long, codes binary")
+        sets = texts.where("doc_id is null").select("text").mapInArrow(every, "cls binary, codes binary")
         found = found.unionByName(sets.join(F.broadcast(nameless) if few else nameless, "cls", "left_semi"))
     return found.dropDuplicates(["cls"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the limit."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
-                keep.append(WHOLE * common >= PART * (len(s) + len(t) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("cls").alias("a"), F.col("codes").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("codes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of `links` (a, b) can reach.
 
@@ -261,13 +250,86 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
         lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        after = staged(lower.join(jump, "new").select("node", "label", F.least("new", "far").alias("new")), "labels")
+        after = staged(salted_join(lower, jump, "new", "node").select("node", "label", F.least("new", "far").alias("new")), "labels")
         changed = not after.where("new <> label").isEmpty()
         labels = after.select("node", F.col("new").alias("label"))
         if not changed:
             return labels
 
 
+def _shards(members: DataFrame, block: int) -> DataFrame:
+    """key and shards of every key of more than one member; `members` has key, cls, n_shingles."""
+    rows, shingles = F.count("*"), F.sum("n_shingles")
+    return members.groupBy("key").agg(rows.alias("n"), F.greatest(F.ceil(rows / block), F.ceil(shingles / BLOCK_SHINGLES)).alias("shards")).where("n > 1").select("key", "shards")
+
+
+def _dealt(members: DataFrame, block: int, salt: int) -> DataFrame:
+    """Members (key, cls, n_shingles, label, regs) of keys of more than one, as rows of one shard each."""
+    placed = salted_join(members, _shards(members, block), "key", "cls")
+    shard = F.pmod(F.xxhash64("cls", F.lit(salt)), "shards")
+    return placed.select(F.xxhash64("key", shard).alias("grp"), F.col("key").alias("band"), F.lit(False).alias("side"), "label", "cls", "regs")
+
+
+def _blocks_apart(members: DataFrame, block: int) -> DataFrame:
+    """Members as rows of pairs of blocks, such that any two of different labels meet in one pair.
+
+    A label of at least a block has blocks of its own; the others share theirs.
+    Pairs of blocks of one large label are left out.
+    """
+    size = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    labels = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("n_shingles"), size.alias("own"))
+    large = (F.col("n") >= block) | (F.col("n_shingles") >= BLOCK_SHINGLES)
+    rest = labels.where(~large).groupBy("key").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("shared"))
+    plan = labels.join(rest, "key", "left").select("key", "label", F.when(large, F.col("label")).alias("sole"), F.when(large, F.col("own")).otherwise(F.col("shared")).alias("blocks"))
+    plan = staged(plan, "plan")
+    at = F.pmod(F.xxhash64("cls", F.lit(-1)), "blocks")
+    placed = salted_join(members.withColumn("name", F.xxhash64("key", "label")), plan.withColumn("name", F.xxhash64("key", "label")).drop("key", "label"), "name", "cls")
+    placed = staged(placed.select("key", "cls", "label", "regs", F.xxhash64("sole", at).alias("own"), F.col("sole")), "blocks")
+    blocks = placed.groupBy("key", "own").agg(F.first("sole").alias("sole"))
+    other = blocks.select("key", F.col("own").alias("other"), F.col("sole").alias("other_sole"))
+    meets = blocks.join(other, "key").where("sole is null or other_sole is null or sole <> other_sole").select("key", "own", "other")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    met = placed.join(meets, ["key", "own"])
+    return met.select(F.xxhash64("key", low, high).alias("grp"), F.col("key").alias("band"), (F.col("own") > F.col("other")).alias("side"), "label", "cls", "regs")
+
+
+def _links(docs: DataFrame, classes: DataFrame, members: DataFrame, everywhere: bool = False) -> DataFrame:
+    """(a, b), staged: verified links between `members` of a group."""
+    met = staged(partners(members, everywhere), "met")
+    wanted = staged(classes.join(met.select("cls").distinct(), "cls").select("cls", "doc_id"), "wanted")
+    return staged(forest(met.join(full_sets(docs, wanted), "cls"), everywhere), "links")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.drop("label").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+def linked(docs: DataFrame, classes: DataFrame, members: DataFrame, regs: DataFrame, block: int) -> DataFrame:
+    """(node, label) of the classes that are linked with any other; `members` has key, cls, n_shingles."""
+    fresh = members.withColumn("label", F.col("cls"))
+    links = _links(docs, classes, _dealt(fresh.join(regs, "cls"), block, 0))
+    labels = components(links)
+    split = _shards(members, block).where("shards > 1").select("key")
+    hot = staged(salted_join(members, split, "key", "cls"), "hot")
+    left, salt = None, 0
+    while not hot.isEmpty():
+        now = staged(_labelled(hot, labels), "labelled")
+        several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        hot = staged(salted_join(now, several, "key", "cls").drop("label"), "hot")
+        now = staged(_labelled(hot, labels), "labelled")
+        heads = staged(now.groupBy("key", "label").agg(F.min(F.struct("cls", "n_shingles")).alias("head")).select("key", "label", "head.*"), "heads")
+        before, left = left, heads.count()
+        if not left:
+            break
+        if before is not None and 2 * left > before:
+            rest = _links(docs, classes, _blocks_apart(now.join(regs, "cls"), block))
+            return components(staged(links.unionByName(rest), "links"))
+        salt += 1
+        links = staged(links.unionByName(_links(docs, classes, _dealt(heads.join(regs, "cls"), block, salt), True)), "links")
+        labels = components(links)
+    return labels
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`.
 
@@ -275,38 +337,27 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     Equal texts share a component, whatever their number; component_id is the
     least doc_id reachable. Rows that agree in doc_id and text come out alike; a
     null doc_id takes part but never names a component that has other ids (a
-    row whose component has none is kept). No documents give no rows.
+    row whose component has none is kept). No documents give no rows. Columns
+    other than doc_id and text are not read.
     """
     sketch = staged(sketches(docs), "sketches")
-    classes = staged(sketch.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
-    banded = sketch.where("cls <> 0").select("cls", F.explode("bands").alias("key"))
-    groups = banded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
-    shared = staged(banded.join(groups, "key").distinct(), "shared")
-    sizes = shared.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    with_regs = sketch.where("cls <> 0").join(classes.withColumnRenamed("doc_id", "first"), "cls").where("doc_id <=> first").select("cls", "regs").dropDuplicates(["cls"])
-    placed = shared.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    return _linked(docs, sketch, classes, placed.select("key", "cls", F.xxhash64("key", low, high).alias("grp"), (F.col("own") > F.col("other")).alias("side")), with_regs)
-
-
-def _linked(docs: DataFrame, sketch: DataFrame, classes: DataFrame, placed: DataFrame, with_regs: DataFrame) -> DataFrame:
-    members = placed.join(with_regs, "cls").select("grp", F.col("key").alias("band"), "side", "cls", "regs")
-    pairs = staged(candidate_pairs(members), "pairs")
-    sparse, dense = pairs.where("b is not null").select("a", "b").distinct(), pairs.where("b is null")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).where("cls is not null").distinct().join(classes, "cls")
-    sets = staged(full_sets(docs, staged(wanted, "wanted")), "sets")
-    tight = dense.select("grp", "band", "side", F.col("a").alias("cls")).join(sets, "cls")
-    links = verified(sparse, sets).unionByName(dense_links(tight))
-    labels = components(staged(links, "links"))
+    worded = sketch.where("n_shingles > 0")
+    classes = staged(worded.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
+    one = salted_join(worded, classes.select("cls", F.col("doc_id").alias("first")), "cls", "doc_id").where("doc_id <=> first")
+    one = staged(one.select("cls", "n_shingles", "regs", "bands").dropDuplicates(["cls"]), "one")
+    banded = one.select("cls", "n_shingles", F.explode("bands").alias("key"))
+    groups = banded.groupBy("key").count().where("count > 1").select("key")
+    members = staged(salted_join(banded, groups, "key", "cls").select("key", "cls", "n_shingles"), "members")
+    labels = linked(docs, classes, members, one.select("cls", "regs"), block)
     # From the least class reachable to the least doc_id reachable.
-    labelled = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = staged(labelled.join(least, "label").select("cls", "component_id"), "named")
+    of = classes.join(labels.withColumnRenamed("node", "cls"), "cls").select("cls", "label", "doc_id")
+    least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = salted_join(of, least, "label", "cls").select("cls", "component_id")
     # Only classes of several rows or links differ from their own doc_id.
-    out = sketch.where("cls <> 0").select("doc_id", "n_shingles", "cls").join(named, "cls").select("doc_id", "n_shingles", "component_id")
-    empty = sketch.where("cls = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    differ = classes.join(named, "cls", "left").where("copies > 1 or component_id is not null").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"), F.lit(True).alias("joined"))
+    out = salted_join(sketch.select("doc_id", "n_shingles", "cls"), staged(differ, "named"), "cls", "doc_id", how="left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

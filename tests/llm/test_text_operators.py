@@ -170,7 +170,7 @@ def brute_links(rows):
 
 
 @pytest.mark.parametrize("block", [1024, 8])
-def test_near_duplicates(spark, docs, texts, block, monkeypatch):
+def test_near_duplicates(spark, docs, texts, block):
     rng = random.Random(5)
     rows = [(i, t) for i, t in texts[:30]]
     base = [f"w{rng.randrange(900)}" for _ in range(120)]
@@ -180,7 +180,6 @@ def test_near_duplicates(spark, docs, texts, block, monkeypatch):
             words[rng.randrange(120)] = f"z{rng.randrange(99)}"
         rows.append((1000 + k, " ".join(words)))
     rows += [(2000, "One two"), (2001, "one TWO"), (2002, None), (2003, " "), (2004, "a b c d e"), (2005, "a b c d e f")]
-    monkeypatch.setattr(minhash, "DENSE", 1)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs(rows), block).collect()}
     assert got == brute_links(rows)
 
@@ -191,6 +190,39 @@ def test_near_duplicates_odd_rows(spark, docs, odd):
     assert minhash.near_duplicates(docs([])).count() == 0
 
 
+def test_blocks_of_different_labels_all_meet(spark):
+    rows = [(k, f"{k}-{i}".encode(), 9, (b"A" if i < 20 else b"B" if i < 40 else f"s{i}".encode()), b"") for k in (1, 2) for i in range(52)]
+    members = spark.createDataFrame(rows, "key long, cls binary, n_shingles long, label binary, regs binary")
+    groups = {}
+    for r in minhash._blocks_apart(members, 8).collect():
+        groups.setdefault(r["grp"], []).append((bytes(r["cls"]), bytes(r["label"]), r["side"], r["band"]))
+    met = Counter()
+    for g in groups.values():
+        assert len({x[3] for x in g}) == 1
+        mixed = len({x[2] for x in g}) > 1
+        for i, x in enumerate(g):
+            for y in g[i + 1 :]:
+                if x[1] != y[1] and (x[2] != y[2] or not mixed):
+                    met[frozenset((x[0], y[0]))] += 1
+    want = {frozenset((x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[3] != y[3]}
+    assert set(met) == want and set(met.values()) == {1}
+    assert not any({x[1] for x in g} == {b"A"} for g in groups.values())
+
+
+def test_near_duplicates_in_a_hot_group_of_unlinked_clusters(spark, docs):
+    rng = random.Random(6)
+    shared = [f"c{i}" for i in range(110)]  # over half of every text, so bands are shared without links
+    rows = []
+    for c in range(6):
+        own = [f"o{c}-{i}" for i in range(60)]
+        for k in range(12):
+            words = shared + own
+            words[rng.randrange(len(words))] = f"edit{k}"
+            rows.append((100 * c + k, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs(rows), 4).collect()}
+    assert got == brute_links(rows)
+
+
 def test_near_copies_without_ids(spark, docs):
     a, b = ([f"{c}{i}" for i in range(100)] for c in "ab")
     near = lambda words, k: " ".join([*words[:-1], f"end{k}"])
