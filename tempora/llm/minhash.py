@@ -7,19 +7,18 @@
    keeps its least remaining hash as a leading-zero count and mantissa bits, in
    32 bits. Registers are banded by fours; 32 bands miss a pair at similarity
    0.75 with a probability of 5e-6. Bands without any register are not used.
-3. Classes that share a band are a group. A group is dealt to shards, bounded in
-   members and in shingles; each member is in one shard, so rows stay
-   proportional to the members. In a shard, the collision-corrected estimate
-   from the registers drops pairs that lie `SIGMAS` standard errors below the
-   limit, and members without any passing partner leave.
-4. The full sets of the others meet in the shard and come out as links of a
-   spanning forest, each verified: a member already linked to another, at
-   whatever distance, is not compared with it again.
-5. Groups of several shards: one representative of each component meets, in new
-   shards, the representatives of the group's other components, until no round
-   halves their number. What is left, in groups that still hold several
-   components, is compared block by block, large components against each other
-   and against the rest, never within one component. No link is lost.
+3. Classes that share a band are a group. A group beyond `BLOCK` members (or
+   `BLOCK_SHINGLES`) is hot and dealt to shards; a class enters at most
+   `HOT_GROUPS` of its hot groups, one shard each, so rows stay proportional to
+   the members. In a group or shard, the collision-corrected estimate from the
+   registers drops pairs that lie `SIGMAS` standard errors below the limit, and
+   members without any passing partner leave.
+4. The full sets of the others meet there and come out as links of a spanning
+   forest, each verified; what is connected already is not compared again. Two
+   dealings to random shards connect a cluster of near copies of any size.
+5. Hot groups that still hold several components are compared block by block,
+   large components against each other and against the rest, never within one
+   component. So no link is lost, whatever the dealings left open.
 6. Connected components over the verified links, by label propagation with
    pointer jumping, staged after every round.
 """
@@ -31,7 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import doc_texts, salted_join, staged, table
@@ -43,6 +42,7 @@ BANDS = BUCKETS // ROWS
 #: Most members, and most shingles over all members, that one shard of a group may hold (one member may be larger).
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 22
+HOT_GROUPS = 2
 SIGMAS = 5.0
 #: Similarity limit as a fraction: link when PART * union <= WHOLE * intersection.
 PART, WHOLE = 75, 100
@@ -140,18 +140,18 @@ def _numbers(names: list[bytes]) -> np.ndarray:
     return np.array([seen.setdefault(x, len(seen)) for x in names])
 
 
-def partners(members: DataFrame, everywhere: bool = False) -> DataFrame:
-    """(grp, band, side, label, cls): the members of each group that pass the estimate with another one of another label.
+def partners(members: DataFrame) -> DataFrame:
+    """(grp, band, side, every, label, cls): the members of each group that pass the estimate with another one of another label.
 
-    `members` has grp, band, side, label, cls, regs. Where a group has both
-    sides, only members of different sides are compared. A pair counts in the
-    first of its common bands, or `everywhere`. A member known to have a partner
+    `members` has grp, band, side, every, label, cls, regs. Where a group has
+    both sides, only members of different sides are compared. A pair counts in
+    the first of its common bands only, unless the group is for `every` pair. A member known to have a partner
     is compared only with members not known to have one, so groups of near
     copies take time in proportion to their size.
     """
 
     def run(batches):
-        for grp, g in _groups(batches, ["band", "side", "label", "cls", "regs"]):
+        for grp, g in _groups(batches, ["band", "side", "every", "label", "cls", "regs"]):
             n = len(g["cls"])
             regs = np.frombuffer(b"".join(g["regs"]), np.uint32).reshape(n, BUCKETS)
             filled, keys = regs != 0, band_keys(regs).view(np.int64)
@@ -164,7 +164,7 @@ def partners(members: DataFrame, everywhere: bool = False) -> DataFrame:
                 js = js[label[js] != label[i]]
                 if apart:
                     js = js[side[js] != side[i]]
-                if len(js) and not everywhere:
+                if len(js) and not g["every"][0]:
                     js = _first_here(keys, g["band"][0], i, js)
                 if len(js):
                     js = _pass(regs, filled, i, js)
@@ -172,20 +172,20 @@ def partners(members: DataFrame, everywhere: bool = False) -> DataFrame:
                     has[i] |= len(js) > 0
             at = np.flatnonzero(has)
             if len(at):
-                columns = [pa.array([grp] * len(at), pa.int64()), pa.array([g["band"][0]] * len(at), pa.int64()), pa.array(side[at]), pa.array([g["label"][i] for i in at], pa.binary()), pa.array([g["cls"][i] for i in at], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["grp", "band", "side", "label", "cls"])
+                columns = [pa.array([grp] * len(at), pa.int64()), pa.array([g["band"][0]] * len(at), pa.int64()), pa.array(side[at]), pa.array([g["every"][0]] * len(at)), pa.array([g["label"][i] for i in at], pa.binary()), pa.array([g["cls"][i] for i in at], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["grp", "band", "side", "every", "label", "cls"])
 
-    return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "grp long, band long, side boolean, label binary, cls binary")
+    return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "grp long, band long, side boolean, every boolean, label binary, cls binary")
 
 
-def forest(members: DataFrame, everywhere: bool = False) -> DataFrame:
+def forest(members: DataFrame) -> DataFrame:
     """(a, b): verified links that connect, within each group, whatever is linked and not yet of one label.
 
-    `members` has grp, band, side, label, cls, codes; pairs are those of `partners`.
+    `members` has grp, band, side, every, label, cls, codes; pairs are those of `partners`.
     """
 
     def run(batches):
-        for _, g in _groups(batches, ["band", "side", "label", "cls", "codes"]):
+        for _, g in _groups(batches, ["band", "side", "every", "label", "cls", "codes"]):
             sets = [np.frombuffer(x, np.uint64) for x in g["codes"]]
             n, sizes = len(sets), np.array([len(s) for s in sets])
             regs = np.array([registers(s) for s in sets])
@@ -197,7 +197,7 @@ def forest(members: DataFrame, everywhere: bool = False) -> DataFrame:
                 js = js[(of[js] != of[i]) & (WHOLE * sizes[js] >= PART * sizes[i]) & (WHOLE * sizes[i] >= PART * sizes[js])]
                 if apart:
                     js = js[side[js] != side[i]]
-                if len(js) and not everywhere:
+                if len(js) and not g["every"][0]:
                     js = _first_here(keys, g["band"][0], i, js)
                 if len(js):
                     js = _pass(regs, filled, i, js)
@@ -257,17 +257,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _shards(members: DataFrame, block: int) -> DataFrame:
-    """key and shards of every key of more than one member; `members` has key, cls, n_shingles."""
-    rows, shingles = F.count("*"), F.sum("n_shingles")
-    return members.groupBy("key").agg(rows.alias("n"), F.greatest(F.ceil(rows / block), F.ceil(shingles / BLOCK_SHINGLES)).alias("shards")).where("n > 1").select("key", "shards")
-
-
-def _dealt(members: DataFrame, block: int, salt: int) -> DataFrame:
-    """Members (key, cls, n_shingles, label, regs) of keys of more than one, as rows of one shard each."""
-    placed = salted_join(members, _shards(members, block), "key", "cls")
-    shard = F.pmod(F.xxhash64("cls", F.lit(salt)), "shards")
-    return placed.select(F.xxhash64("key", shard).alias("grp"), F.col("key").alias("band"), F.lit(False).alias("side"), "label", "cls", "regs")
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (key, cls, shards, label, regs) as rows of one group or shard each."""
+    hot = F.col("shards") > 1
+    shard = F.when(hot, F.pmod(F.xxhash64("cls", "key"), "shards"))
+    return members.select(F.xxhash64("key", shard).alias("grp"), F.col("key").alias("band"), F.lit(False).alias("side"), hot.alias("every"), "label", "cls", "regs")
 
 
 def _blocks_apart(members: DataFrame, block: int) -> DataFrame:
@@ -290,44 +284,39 @@ def _blocks_apart(members: DataFrame, block: int) -> DataFrame:
     meets = blocks.join(other, "key").where("sole is null or other_sole is null or sole <> other_sole").select("key", "own", "other")
     low, high = F.least("own", "other"), F.greatest("own", "other")
     met = placed.join(meets, ["key", "own"])
-    return met.select(F.xxhash64("key", low, high).alias("grp"), F.col("key").alias("band"), (F.col("own") > F.col("other")).alias("side"), "label", "cls", "regs")
+    return met.select(F.xxhash64("key", low, high).alias("grp"), F.col("key").alias("band"), (F.col("own") > F.col("other")).alias("side"), F.lit(False).alias("every"), "label", "cls", "regs")
 
 
-def _links(docs: DataFrame, classes: DataFrame, members: DataFrame, everywhere: bool = False) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b), staged: verified links between `members` of a group."""
-    met = staged(partners(members, everywhere), "met")
+    met = staged(partners(members), "met")
     wanted = staged(classes.join(met.select("cls").distinct(), "cls").select("cls", "doc_id"), "wanted")
-    return staged(forest(met.join(full_sets(docs, wanted), "cls"), everywhere), "links")
-
-
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.drop("label").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return staged(forest(met.join(full_sets(docs, wanted), "cls")), "links")
 
 
 def linked(docs: DataFrame, classes: DataFrame, members: DataFrame, regs: DataFrame, block: int) -> DataFrame:
     """(node, label) of the classes that are linked with any other; `members` has key, cls, n_shingles."""
-    fresh = members.withColumn("label", F.col("cls"))
-    links = _links(docs, classes, _dealt(fresh.join(regs, "cls"), block, 0))
-    labels = components(links)
-    split = _shards(members, block).where("shards > 1").select("key")
-    hot = staged(salted_join(members, split, "key", "cls"), "hot")
-    left, salt = None, 0
-    while not hot.isEmpty():
-        now = staged(_labelled(hot, labels), "labelled")
-        several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        hot = staged(salted_join(now, several, "key", "cls").drop("label"), "hot")
-        now = staged(_labelled(hot, labels), "labelled")
-        heads = staged(now.groupBy("key", "label").agg(F.min(F.struct("cls", "n_shingles")).alias("head")).select("key", "label", "head.*"), "heads")
-        before, left = left, heads.count()
-        if not left:
-            break
-        if before is not None and 2 * left > before:
-            rest = _links(docs, classes, _blocks_apart(now.join(regs, "cls"), block))
-            return components(staged(links.unionByName(rest), "links"))
-        salt += 1
-        links = staged(links.unionByName(_links(docs, classes, _dealt(heads.join(regs, "cls"), block, salt), True)), "links")
-        labels = components(links)
-    return labels
+    rows, shingles = F.count("*"), F.sum("n_shingles")
+    sizes = members.groupBy("key").agg(F.greatest(F.ceil(rows / block), F.when(rows > 1, F.ceil(shingles / BLOCK_SHINGLES))).alias("shards"))
+    members = staged(salted_join(members, sizes, "key", "cls"), "sized")
+    hot = members.where("shards > 1")
+    few = Window.partitionBy("cls").orderBy(F.xxhash64("key"), "key")  # 32 rows at most
+    some = hot.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= HOT_GROUPS).drop("nth")
+    first = members.where("shards = 1").unionByName(some)
+    labels = components(_links(docs, classes, _dealt(first.withColumn("label", F.col("cls")).join(regs, "cls"))))
+    now = staged(hot.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+    several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    rest = staged(salted_join(now, several, "key", "cls"), "open")
+    if rest.isEmpty():
+        return labels
+    links = _links(docs, classes, _blocks_apart(rest.join(regs, "cls"), block))
+    for end in ("a", "b"):
+        names = labels.select(F.col("node").alias(end), F.col("label").alias("to"))
+        links = links.join(names, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    more = components(links.where("a <> b")).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    joined = salted_join(labels, more, "label", "node", "left").select("node", F.coalesce("top", "label").alias("label"))
+    new = more.select(F.col("label").alias("node"), F.col("top").alias("label")).join(labels, "node", "left_anti")
+    return staged(joined.unionByName(new), "labels")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -341,13 +330,12 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     other than doc_id and text are not read.
     """
     sketch = staged(sketches(docs), "sketches")
-    worded = sketch.where("n_shingles > 0")
-    classes = staged(worded.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
-    one = salted_join(worded, classes.select("cls", F.col("doc_id").alias("first")), "cls", "doc_id").where("doc_id <=> first")
-    one = staged(one.select("cls", "n_shingles", "regs", "bands").dropDuplicates(["cls"]), "one")
-    banded = one.select("cls", "n_shingles", F.explode("bands").alias("key"))
+    kept = [F.first(c).alias(c) for c in ("n_shingles", "regs", "bands")]
+    one = staged(sketch.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *kept), "classes")
+    classes = one.select("cls", "doc_id", "copies")
+    banded = one.select("cls", F.explode("bands").alias("key"))
     groups = banded.groupBy("key").count().where("count > 1").select("key")
-    members = staged(salted_join(banded, groups, "key", "cls").select("key", "cls", "n_shingles"), "members")
+    members = salted_join(banded, groups, "key", "cls").join(one.select("cls", "n_shingles"), "cls")
     labels = linked(docs, classes, members, one.select("cls", "regs"), block)
     # From the least class reachable to the least doc_id reachable.
     of = classes.join(labels.withColumnRenamed("node", "cls"), "cls").select("cls", "label", "doc_id")
