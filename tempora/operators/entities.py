@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import closure
+from .frames import ROW, with_row_index
+from .graph import below, closure, until_empty
 from .temporal import islands
 
 
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    return closure(edges).join(roots.select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
+    return below(edges, roots)
 
 
 def ancestor_tags(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -23,15 +24,21 @@ def visible(entities: DataFrame, zoom: float) -> DataFrame:
     return entities.where(F.col("geometry").isNotNull() & ~F.coalesce("hidden", F.lit(False)) & F.lit(zoom).between(F.coalesce("min_zoom", F.lit(0.0)), F.coalesce("max_zoom", F.lit(99.0))))
 
 
+def _subtree(entities: DataFrame, edges: DataFrame, target: str) -> DataFrame:
+    """The ids of an entity and all below it."""
+    root = entities.sparkSession.createDataFrame([(target,)], "id string")
+    return root.unionByName(below(edges, root).select(F.col("node").alias("id"))).distinct()
+
+
 def set_hidden(entities: DataFrame, edges: DataFrame, target: str, hidden: bool) -> DataFrame:
     """Visibility of an entity and all below it."""
-    below = closure(edges).where(F.col("ancestor") == target).select(F.col("node").alias("id")).distinct().withColumn("_hit", F.lit(True))
-    return entities.join(below, "id", "left").withColumn("hidden", F.when((F.col("id") == target) | F.col("_hit"), F.lit(hidden)).otherwise(F.col("hidden"))).drop("_hit")
+    hit = _subtree(entities, edges, target).withColumn("_hit", F.lit(True))
+    return entities.join(hit, "id", "left").withColumn("hidden", F.when(F.col("_hit"), F.lit(hidden)).otherwise(F.col("hidden"))).drop("_hit")
 
 
 def delete(entities: DataFrame, edges: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     """Entities and edges without one entity and all below it."""
-    gone = closure(edges).where(F.col("ancestor") == target).select(F.col("node").alias("id")).unionByName(entities.where(F.col("id") == target).select("id")).distinct()
+    gone = _subtree(entities, edges, target)
     return entities.join(gone, "id", "left_anti"), edges.join(gone.withColumnRenamed("id", "child"), "child", "left_anti").join(gone.withColumnRenamed("id", "parent"), "parent", "left_anti")
 
 
@@ -68,16 +75,12 @@ def bulk_command(ids: DataFrame, idx: int, kind: str, field: str, value: Column,
 # Timelines: actions (timeline, idx, key, payload), timelines (id, parent, parent_idx)
 def lineage(actions: DataFrame, timelines: DataFrame, timeline: str) -> DataFrame:
     """All actions that lead to a timeline's end, its own after those of its ancestors up to each fork."""
-    name = f"timelines_{abs(hash(timelines))}"
-    timelines.createOrReplaceTempView(name)
-    chain = timelines.sparkSession.sql(f"""
-        with recursive t(id, parent, parent_idx, upto, depth) as (
-          select id, parent, parent_idx, cast(9223372036854775807 as bigint), 0 from {name} where id = '{timeline}'
-          union all
-          select p.id, p.parent, p.parent_idx, cast(t.parent_idx as bigint), t.depth + 1 from t join {name} p on p.id = t.parent)
-        select id as timeline, upto, depth from t""")
-    order = Window.orderBy(F.desc("depth"), "idx")
-    return actions.join(chain, "timeline").where("idx <= upto").withColumn("step", F.row_number().over(order)).drop("upto", "depth")
+    rows = timelines.select("id", "parent", F.col("parent_idx").cast("bigint").alias("parent_idx"))
+    start = rows.where(F.col("id") == timeline).select("*", F.lit((1 << 63) - 1).alias("upto"), F.lit(0).alias("depth"))
+    over = lambda f: f.select(F.col("parent").alias("id"), F.col("parent_idx").alias("upto"), (F.col("depth") + 1).alias("depth")).join(rows, "id").select("id", "parent", "parent_idx", "upto", "depth")
+    chain = until_empty(start, over, lambda: rows.count() + 1).select(F.col("id").alias("timeline"), "upto", "depth")
+    found = actions.join(chain, "timeline").where("idx <= upto")
+    return with_row_index(found, F.desc("depth"), F.col("idx")).withColumn("step", F.col(ROW) + 1).drop("upto", "depth", ROW)
 
 
 def action_groups(actions: DataFrame) -> DataFrame:

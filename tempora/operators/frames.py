@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..equation import compile_assignments, compile_expression
 from ..functions.arrays import number
+from ..scratch import cut
 
 ROW = "row_idx"
 
@@ -16,10 +17,10 @@ ROW = "row_idx"
 def with_row_index(df: DataFrame, *order: Column) -> DataFrame:
     """row_idx from 0 in the given order, dense, without sending all rows to one task.
 
-    Rows are range-partitioned by the order; each partition counts its rows, and
-    the counts (one row a partition) give every partition its first index.
+    Rows are range-partitioned by the order, and checkpointed, so that counts and
+    rows come from the same partitions; each counts its rows, and the counts (one row a partition) give every partition its first index.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     first = counts.withColumn("_first", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     return ranged.join(F.broadcast(first.select("_part", F.coalesce("_first", F.lit(0)).alias("_first"))), "_part").withColumn(ROW, F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
@@ -120,10 +121,14 @@ def smart_lookup(df: DataFrame, query: str, key: str, columns: list[str]) -> Dat
     return df.withColumn("match", level).where("match is not null").orderBy(F.desc("match"), F.desc(key)).limit(1)
 
 
-def sort_mixed(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+def mixed_order(column: str, descending: bool = False) -> list[Column]:
     """Numbers by value before texts by letter."""
     value, text = F.col(column).try_cast("double"), F.col(column).cast("string")
-    return df.orderBy(*([value.desc_nulls_last(), text.desc()] if descending else [value.asc_nulls_last(), text.asc()]))
+    return [value.desc_nulls_last(), text.desc()] if descending else [value.asc_nulls_last(), text.asc()]
+
+
+def sort_mixed(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    return df.orderBy(*mixed_order(column, descending))
 
 
 def page(df: DataFrame, number_: int, size: int, *order: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from ..equation import compile_assignments, compile_expression
 from ..functions import arrays, colours, dates, geo, maps, maths, strings
 from .core import query, r6, t
 
-A = "a as (select p_partkey as id, [p_size::double, p_retailprice, (p_partkey % 7)::double, -(p_partkey % 5)::double] as a, [1.0, p_size::double, 2.0] as b from part)"
+A = "a as (select p_partkey as id, [p_size::double, p_retailprice, (p_partkey % 7)::double, (-(p_partkey % 5))::double] as a, [1.0, p_size::double, 2.0] as b from part)"
 
 
 def pairs(spark, d):
@@ -237,9 +237,9 @@ def list_texts(spark, d):
     return spark.range(4).select(strings.list_text(F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1, F.col("id").cast("int"))).alias("text"), F.col("id").alias("n"))
 
 
-@query("rolling_hash", "with c as (select doc_id, list_transform(string_split(substring(text, 1, 12), ''), lambda c: unicode(c)::bigint) as c from documents), h as (select doc_id, list_reduce(list_concat([0::bigint], c), lambda h, x: (h * 31 + x) % 4294967296) as h from c) select doc_id, lower(to_hex(abs(case when h >= 2147483648 then h - 4294967296 else h end))) as hash from h")
+@query("rolling_hash", "with c as (select doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)::bigint) as c from documents), h as (select doc_id, list_reduce(list_concat([0::bigint], c), lambda h, x: (h * 31 + x) % 4294967296) as h from c) select doc_id, lower(to_hex(abs(case when h >= 2147483648 then h - 4294967296 else h end))) as hash from h")
 def rolling_hash(spark, d):
-    return t(spark, d, "documents").select("doc_id", strings.rolling_hash(F.substring("text", 1, 12)).alias("hash"))
+    return t(spark, d, "documents").select("doc_id", strings.rolling_hash(F.col("text")).alias("hash"))
 
 
 @query("text_edits", """select c_custkey as id, case when contains(c_name, '00') then c_name else c_name || chr(10) || '00' end as added, replace(c_name, '0', 'o') as replaced, regexp_replace(c_name, '0', 'o') as first, regexp_extract_all(c_name, '.{1,4}') as chunks from customer""")

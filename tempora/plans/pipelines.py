@@ -73,8 +73,10 @@ def union_cities(main: DataFrame, other: DataFrame, km: float = 5.0) -> DataFram
 
 def sample_colours(polities: DataFrame, grids: DataFrame, colours: DataFrame) -> DataFrame:
     """(id, year, colour): polities (id, from, to, x, y) with the colour at their place in the layer nearest to their middle year."""
-    middle = polities.withColumn("at", F.floor((F.col("from") + F.col("to")) / 2).cast("int")).withColumn("all", F.lit(1))
-    near = temporal.nearest_join(middle, grids.select(F.lit(1).alias("all"), "year").distinct(), ["all"], "at", "year", []).withColumnRenamed("near_ts", "year")
+    middle = F.floor((F.col("from") + F.col("to")) / 2).cast("int")
+    years = grids.agg(F.collect_set("year").alias("_years"))  # one row; a layer is a whole raster, so its years are few
+    nearest = F.array_min(F.transform("_years", lambda y: F.struct(F.abs(y - middle).alias("d"), y.alias("year"))))["year"]
+    near = polities.crossJoin(F.broadcast(years)).withColumn("year", nearest)
     return near.join(colours, ["year", "x", "y"], "left").select("id", "year", "colour")
 
 

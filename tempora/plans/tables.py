@@ -173,12 +173,13 @@ def nation_edges(spark, d):
     return line.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("src", "dst").agg(F.count("*").alias("cost"))
 
 
-@query("shortest_paths", f"""with recursive {EDGES}, p as (select (select min(src) from e) as node, 0.0::double as cost, 0 as hops union all select e.dst, p.cost + e.cost, hops + 1 from p join e on e.src = p.node where hops < 4)
-select node, min(cost) as cost from p group by 1""")
+@query("shortest_paths", f"""with {EDGES}, p0 as (select src as a, dst as b, min(cost)::double as c from (select src, dst, cost from e union all select n_nationkey, n_nationkey, 0 from nation) group by 1, 2),
+{", ".join(f"p{i + 1} as (select x.a, y.b, min(x.c + y.c) as c from p{i} x join p{i} y on x.b = y.a group by 1, 2)" for i in range(5))}
+select b as node, c as cost from p5 where a = (select min(src) from e)""")
 def shortest_paths(spark, d):
     edges = nation_edges(spark, d)
     start = edges.agg(F.min("src")).first()[0]
-    return graph.shortest_paths(edges, start, 4).select("node", "cost")
+    return graph.shortest_paths(edges, start).select("node", "cost")
 
 
 TREE = "tree as (select 'r' || n_regionkey as parent, 'n' || n_nationkey as child, n_nationkey as pos from nation union all select 'n' || s_nationkey, 's' || s_suppkey, s_suppkey from supplier)"
@@ -194,7 +195,7 @@ def tree_closure(spark, d):
     return graph.closure(tree(spark, d))
 
 
-@query("rendering_order", f"with recursive {TREE}, c as (select 'r0' as node, '000000' as path union all select t.child, c.path || '/' || lpad(t.pos::varchar, 6, '0') from c join tree t on t.parent = c.node) select node, path from c")
+@query("rendering_order", f"with recursive {TREE}, c as (select 'r0' as node, [0::bigint] as path union all select t.child, list_append(c.path, t.pos::bigint) from c join tree t on t.parent = c.node) select node, path from c")
 def rendering_order(spark, d):
     return graph.rendering_order(tree(spark, d), ["r0"])
 
@@ -238,8 +239,7 @@ LAST = "with e as (select 'user_' || user_id as id, epoch_us(ts) // 1000 as date
 
 @query("ontology_state", LAST + ", l as (select id, k, arg_max({'v': v}, date).v as v from e group by 1, 2) select id, max(v) filter (k = 0) as k0, max(v) filter (k = 1) as k1, max(v) filter (k = 2) as k2 from l group by 1")
 def ontology_state(spark, d):
-    states = ontology.snapshots(log(spark, d).drop("event_id"))
-    final = ontology.state_at(states, F.lit(1 << 60))
+    final = ontology.states_at(log(spark, d), F.lit(1 << 60))
     return final.select("id", *[F.try_element_at("state", F.lit(f"k{i}")).alias(f"k{i}") for i in range(3)])
 
 
@@ -290,6 +290,8 @@ def top_regions(spark, d):
     return t(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total")).orderBy(F.desc("total"), "o_custkey").limit(8)
 
 
-@query("sort_mixed", "select c_custkey, c_acctbal::varchar as v from customer order by c_acctbal, c_acctbal::varchar limit 1")
+@query("sort_mixed", "select c_custkey, c_acctbal::varchar as v, row_number() over (order by c_acctbal, c_acctbal::varchar, c_custkey) as n from customer")
 def sort_mixed(spark, d):
-    return frames.sort_mixed(t(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("string").alias("v")), "v").limit(1)
+    rows = t(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("string").alias("v"))
+    numbered = frames.with_row_index(rows, *frames.mixed_order("v"), F.col("c_custkey"))
+    return numbered.select("c_custkey", "v", (F.col(frames.ROW) + 1).alias("n"))

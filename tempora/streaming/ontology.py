@@ -31,9 +31,12 @@ def append(events: DataFrame, path: str) -> None:
     encode(events).write.mode("append").partitionBy("day").text(path)
 
 
-def _latest(events: DataFrame) -> DataFrame:
-    """One event per (id, date)."""
-    return events.dropDuplicates(["id", "date"])
+def _merged(events: DataFrame) -> DataFrame:
+    """One event per (id, date): the data of events at one time laid over each other in order of type, then data; the last type stays."""
+    one = F.sort_array(F.collect_list(F.struct(F.coalesce("type", F.lit("")).alias("kind"), F.sort_array(F.map_entries("data")).alias("entries"))))
+    none = F.create_map().cast("map<string,string>")
+    data = F.aggregate("_all", none, lambda m, e: F.map_concat(m, F.coalesce(F.map_from_entries(e["entries"]), none)))  # later keys win
+    return events.groupBy("id", "date").agg(one.alias("_all")).select("id", "date", F.element_at("_all", -1)["kind"].alias("type"), data.alias("data"))
 
 
 def _folded(df: DataFrame, source: str, *order: Column) -> DataFrame:
@@ -65,7 +68,7 @@ def _folded(df: DataFrame, source: str, *order: Column) -> DataFrame:
 
 def snapshots(events: DataFrame) -> DataFrame:
     """Each event with the whole state after it: later keys win, null values delete."""
-    return _folded(_latest(events), "data", F.col("date"))
+    return _folded(_merged(events), "data", F.col("date"))
 
 
 def reverse_differences(states: DataFrame) -> DataFrame:
@@ -84,6 +87,15 @@ def state_at(states: DataFrame, when: Column) -> DataFrame:
     return states.where(F.col("date") <= when).groupBy("id").agg(F.max_by("state", "date").alias("state"))
 
 
+def states_at(events: DataFrame, when: Column) -> DataFrame:
+    """The state of each id at one time, straight from its events: the last value of each key, null ones left out; no history is built."""
+    gone = events.where(F.col("date") <= when)
+    order = F.struct("date", F.coalesce("type", F.lit("")), F.sort_array(F.map_entries("data")))
+    last = gone.withColumn("_at", order).select("id", "_at", F.explode_outer("data").alias("k", "v")).groupBy("id", "k").agg(F.max_by(F.struct("v"), "_at").alias("v"))
+    kept = F.filter(F.collect_list(F.struct("k", "v.v")), lambda e: e["v"].isNotNull())
+    return last.groupBy("id").agg(F.map_from_entries(kept).alias("state"))  # one entry a key of the id
+
+
 def nearest_keyframe(states: DataFrame, when: Column) -> DataFrame:
     """Per id the date nearest to `when`, the earlier of equals."""
     return states.groupBy("id").agg(F.min_by("date", F.struct(F.abs(F.col("date") - when), F.col("date"))).alias("date"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tempora.equation import compile_expression
 from tempora.functions import dates, geo, maths, strings
-from tempora.operators import graph, linalg, raster, series, vector
+from tempora.operators import entities, graph, linalg, raster, series, vector
 from tempora.sources import files, rasters
+from tempora.streaming import ontology
 
 
 def one(spark, column):
@@ -175,3 +176,38 @@ def test_text_files(spark, tmp_path):
     found = files.find_in_files(spark, str(tmp_path / "a.csv"), "asia", case=False, whole_word=True)
     assert [r["line_no"] for r in found.collect()] == [1, 2]
     assert files.replace_in_lines(found, "Asia", "X").first()["replaced"].startswith("X,")
+
+
+def test_deep_chains_are_walked_to_their_end(spark):
+    chain = spark.range(200).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"))
+    assert graph.closure(chain).count() == 200 * 201 // 2
+    start = spark.createDataFrame([(0,)], "id bigint")
+    assert graph.below(chain.where("parent < 70"), start).agg(F.max("distance")).first()[0] == 70
+    best = graph.shortest_paths(chain.where("parent < 60").select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit(1.0).alias("cost")), 0)
+    assert best.count() == 61 and best.agg(F.max("cost")).first()[0] == 60
+    ring = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "parent bigint, child bigint")
+    with pytest.raises(ValueError):
+        graph.closure(ring)
+    with pytest.raises(ValueError):
+        graph.below(ring, start)
+    tree = spark.createDataFrame([("r", "a", 1_500_000), ("r", "b", 999_999), ("b", "c", 0)], "parent string, child string, pos bigint")
+    assert [r["node"] for r in graph.rendering_order(tree, ["r"]).orderBy("path").collect()] == ["r", "b", "c", "a"]
+
+
+def test_entity_edits(spark):
+    edges = spark.createDataFrame([("r", "a", 0), ("a", "b", 0), ("r", "c", 1)], "parent string, child string, pos bigint")
+    things = spark.createDataFrame([(x, False) for x in "rabc"], "id string, hidden boolean")
+    assert {r["id"] for r in entities.set_hidden(things, edges, "a", True).where("hidden").collect()} == {"a", "b"}
+    left, kept = entities.delete(things, edges, "a")
+    assert {r["id"] for r in left.collect()} == {"r", "c"} and [r["child"] for r in kept.collect()] == ["c"]
+    actions = spark.createDataFrame([("m", i, "k") for i in range(5)] + [("f", i, "k") for i in range(2)], "timeline string, idx bigint, key string")
+    lines = entities.branch(actions, spark.createDataFrame([("m", None, None)], "id string, parent string, parent_idx bigint"), "m", 2, "f")
+    assert [(r["timeline"], r["idx"]) for r in entities.lineage(actions, lines, "f").orderBy("step").collect()] == [("m", 0), ("m", 1), ("m", 2), ("f", 0), ("f", 1)]
+
+
+def test_events_of_one_time_are_merged(spark):
+    rows = [("a", 1, "p", {"x": "1"}), ("a", 1, "q", {"y": "2", "x": "3"}), ("a", 2, "p", {"y": None}), ("a", 2, "p", {"y": None}), ("b", 1, None, None)]
+    e = spark.createDataFrame(rows, "id string, date bigint, type string, data map<string,string>")
+    got = {(r["id"], r["date"]): r["state"] for r in ontology.snapshots(e).collect()}
+    assert got == {("a", 1): {"x": "3", "y": "2"}, ("a", 2): {"x": "3"}, ("b", 1): {}}
+    assert {r["id"]: r["state"] for r in ontology.states_at(e, F.lit(9)).collect()} == {"a": {"x": "3"}, "b": {}}

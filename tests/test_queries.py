@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return None if math.isnan(v) else round(v, 6)
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
     if hasattr(v, "asDict"):
