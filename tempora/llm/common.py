@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share. Read from the session; one of our own only where it is unset."""
+    """The folder all executors share. Read from the session; one of our own only where it is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_scratch:
         _own_scratch.append("file://" + tempfile.mkdtemp(prefix="tempora-"))
     return _own_scratch[0]
@@ -60,13 +62,13 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def salted_join(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+def salted_join(rows: DataFrame, few: DataFrame, key: str | list[str], by: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """`rows` joined with `few` (at most one row a key), where one key may hold a large part of `rows`.
 
     Each key is split by a hash of `by` into `salts` parts, and `few` is repeated for each.
     """
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
-    return dealt.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, "_salt"], how).drop("_salt")
+    return dealt.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
 
 
 def doc_texts(docs: DataFrame) -> DataFrame:
