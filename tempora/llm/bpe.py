@@ -14,7 +14,6 @@ cache of units; unknown units of a batch go to the tokenizer in one call.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import os
@@ -23,7 +22,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import doc_texts, table
+from .common import doc_texts, table, uncollected
 
 LEAF_CHARS = 1 << 16
 FIRST_WINDOW = 32
@@ -232,7 +231,6 @@ def roundtrip_digest(docs: DataFrame, path: str | None = None, leaf_chars: int =
     path = path or default_tokenizer_path()
 
     def run(batches):
-        gc.disable()  # millions of small tuples and no cycles
         codec = Codec(path, leaf_chars)
         plain, token, sha = codec.tok.decoder is None, codec.tok.id_to_token, hashlib.sha256
         codec.form = lambda ids: (len(ids), " ".join(map(str, ids)), " ".join(map(token, ids)) if plain else tuple(ids))
@@ -250,7 +248,7 @@ def roundtrip_digest(docs: DataFrame, path: str | None = None, leaf_chars: int =
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return doc_texts(docs).mapInArrow(uncollected(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: White space of the corpus contracts: space and the five ASCII controls from tab to carriage return.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -71,6 +75,41 @@ def salted_join(rows: DataFrame, few: DataFrame, key: str | list[str], by: str,
     return dealt.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
 
 
+def uncollected(run: Callable) -> Callable:
+    """A kernel over batches with cyclic collection off (many small objects, no cycles), on again for the worker's next task."""
+
+    def inner(batches):
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return inner
+
+
+def mapped_rows(docs: DataFrame, run: Callable, result: StructField, rewrite: bool = False) -> DataFrame:
+    """(row, result): each row of `docs` as a struct, whatever its columns are called, and what `run` makes of its text.
+
+    `run()` makes, once a task, a function from a list of texts (null ones are
+    None) to new texts and an array of results; `result` is its field, named
+    "result". With `rewrite` the row's text becomes the new one.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = names.index("text")
+
+    def over(batches):
+        step = run()
+        for batch in batches:
+            texts, values = step(batch.column(at).to_pylist())
+            columns = [pa.array(texts, pa.string()) if i == at and rewrite else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, values], names=[*batch.schema.names, "result"])
+
+    out = plain.mapInArrow(uncollected(over), StructType([*plain.schema.fields, result]))
+    return out.select(F.struct(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)]).alias("row"), "result")
+
+
 def doc_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with a null text as the empty one; other columns, whatever their names, go."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -82,25 +82,32 @@ def _gone(min_lines: int) -> Column:
     return F.expr(f"flatten(transform(arrays_zip({opens}, {closes}), r -> slice(at, r['0'] + 1, r['1'] - r['0'])))")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """All columns of `docs`, text without later copies of repeated line runs, and n_lines, n_removed, n_runs.
+def deduplicated_rows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(row, n_lines, n_removed, n_runs): each row of `docs` as a struct, its text without later copies of repeated line runs.
 
     Lines without a word are no part of a run and stay. A text that loses
     nothing stays as it is (null stays null). The first place of a run, by
     doc_id (null first), then text, then line, keeps it. Rows with equal id and
     text are one document. No documents, or none that repeat, give no
-    deletions. Columns of the input named like a result are replaced by it.
+    deletions. Columns may have any names.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), _key(docs).alias("key"))
-    work = work.join(later_copies(docs, min_lines), "key", "left").withColumn("lines", all_lines(F.col("_row.text")))
+    names = docs.columns
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _key(docs).alias("key"))
+    work = work.join(later_copies(docs, min_lines), "key", "left").withColumn("lines", all_lines(F.col("row.text")))
     work = work.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.col("lines")[i].rlike(WORD_RE)))
     work = work.withColumn("gone", F.when(F.col("starts").isNotNull(), _gone(min_lines)))
     between = F.expr("flatten(transform(arrays_zip(concat(array(-1), gone), concat(gone, array(size(lines)))), r -> slice(lines, r['0'] + 2, r['1'] - r['0'] - 1)))")
-    text = F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(F.array_join(between, "\n")).alias("text")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(between, "\n"))
     runs = F.coalesce(F.expr(f"size(filter(starts, (x, k) -> k = 0 or x > starts[k - 1] + {min_lines}))"), F.lit(0))
     counts = [F.size("at"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")), F.when(F.col("starts").isNull(), 0).otherwise(runs)]
-    return work.select(*[text if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names], *[c.cast("long").alias(n) for c, n in zip(counts, ("n_lines", "n_removed", "n_runs"), strict=True)])
+    row = F.struct(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names])
+    return work.select(row.alias("row"), *[c.cast("long").alias(n) for c, n in zip(counts, ("n_lines", "n_removed", "n_runs"), strict=True)])
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """As `deduplicated_rows`, with the row's columns beside the counts; of columns of one name, the input's goes."""
+    counts = ("n_lines", "n_removed", "n_runs")
+    return deduplicated_rows(docs, min_lines).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in counts], *counts)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

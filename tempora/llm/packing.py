@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import LEAF_CHARS, Codec, default_tokenizer_path, grouped
-from .common import doc_texts, staged, table
+from .common import doc_texts, staged, table, uncollected
 
 WINDOW = 2048
 OPEN_WINDOWS = 32
@@ -99,13 +99,10 @@ def pack_partitions(docs: DataFrame, path: str | None = None, window: int = WIND
     path = path or default_tokenizer_path()
 
     def run(batches):
-        import gc
         import struct
 
         from pyspark import TaskContext
 
-        gc.disable()  # millions of small tuples and no cycles
-
         part = TaskContext.get().partitionId()
         codec = Codec(path, leaf_chars, form=lambda unit: struct.pack(f"<{len(unit)}I", *unit))
         end = struct.pack("<I", end_id)
@@ -127,7 +124,7 @@ def pack_partitions(docs: DataFrame, path: str | None = None, window: int = WIND
             windows._emit(pieces)
             yield _rows(windows.done, part // merge_fan, True)
 
-    return doc_texts(docs).mapInArrow(run, PIECE)
+    return doc_texts(docs).mapInArrow(uncollected(run), PIECE)
 
 
 def merge_tails(pieces: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -16,7 +16,6 @@ in one pass without a shuffle.
 
 from __future__ import annotations
 
-import gc
 import json
 import math
 import random
@@ -26,14 +25,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from .common import doc_texts, table
+from .common import doc_texts, mapped_rows, table, uncollected
 
 #: The labelled rows fitted on: so many of each class, those with the smallest hash of doc_id.
 MAX_TOXIC, MAX_ORDINARY = 4000, 8000
 #: Longer documents are left out of the fit (never out of scoring).
-MAX_TRAIN_CHARS = 100_000
+MAX_TRAIN_CHARS = 20_000
 WINDOW_WORDS = 1
 LEVEL = 12
 BASE_BYTES, TOXIC_BYTES = 32_768, 32_768
@@ -181,52 +180,51 @@ def fit(rows: list[tuple[str, int]], window_words: int = WINDOW_WORDS) -> dict |
 def train(docs: DataFrame, labels: DataFrame, hold_out: bool = True, window_words: int = WINDOW_WORDS) -> dict | None:
     """Fit on labelled documents whose crc32(doc_id) mod 3 is not 1 (with `hold_out`).
 
-    Null labels and ids are skipped, repeated label rows count once; None
-    without documents of both classes.
+    Null labels and ids are skipped, repeated label rows count once, and a
+    document labelled both ways is toxic; None without documents of both classes.
     """
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if hold_out:
         ids = ids.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = ids.where("toxic = 1").orderBy(*by_hash).limit(MAX_TOXIC).unionByName(ids.where("toxic = 0").orderBy(*by_hash).limit(MAX_ORDINARY)).distinct()
+    chosen = ids.where("toxic = 1").orderBy(*by_hash).limit(MAX_TOXIC).unionByName(ids.where("toxic = 0").orderBy(*by_hash).limit(MAX_ORDINARY))
     sample = doc_texts(docs).where(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(chosen), "doc_id")  # at most MAX_TOXIC + MAX_ORDINARY rows
 
     def fit_all(pdf: pd.DataFrame) -> pd.DataFrame:
         model = fit(list(zip(pdf["text"], pdf["toxic"].astype(int), strict=True)))
         if model is None:
-            return pd.DataFrame({"base": [], "added": [], "rest": []})
+            return pd.DataFrame({"base": [b""], "added": [b""], "rest": [""]})
         rest = {k: v for k, v in model.items() if k not in ("base", "added")}
         return pd.DataFrame({"base": [model["base"]], "added": [model["added"]], "rest": [json.dumps(rest)]})
 
     found = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit_all, "base binary, added binary, rest string").collect()  # one row
-    return {"base": bytes(found[0]["base"]), "added": bytes(found[0]["added"]), **json.loads(found[0]["rest"])} if found else None
+    return {"base": bytes(found[0]["base"]), "added": bytes(found[0]["added"]), **json.loads(found[0]["rest"])} if found and found[0]["rest"] else None
+
+
+def _scores(model: dict | None):
+    scorer = Scorer(model) if model else None
+    return lambda texts: pa.array([scorer.score(t or "") if scorer else 0.0 for t in texts], pa.float64())
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, score) of every row; a null or empty text has the score of a text without hits, and without a model all have 0."""
 
     def run(batches):
-        gc.disable()
-        scorer = Scorer(model) if model else None
+        scores = _scores(model)
         for batch in batches:
-            scores = [scorer.score(t) if scorer else 0.0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores(batch.column("text").to_pylist())], names=["doc_id", "score"])
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, score double")
+    return doc_texts(docs).mapInArrow(uncollected(run), "doc_id long, score double")
 
 
 def score_rows(docs: DataFrame, model: dict | None) -> DataFrame:
-    """All columns of `docs` and `score`, in one pass without a join."""
+    """(row, result): each row of `docs` as a struct and its score, in one pass without a join."""
 
-    def run(batches):
-        gc.disable()
-        scorer = Scorer(model) if model else None
-        for batch in batches:
-            scores = [scorer.score(t or "") if scorer else 0.0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+    def run():
+        scores = _scores(model)
+        return lambda texts: (texts, scores(texts))
 
-    rows = docs.select(*[c for c in docs.columns if c != "score"])
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    return mapped_rows(docs, run, StructField("result", DoubleType()))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
