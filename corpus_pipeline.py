@@ -14,38 +14,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm.common import staged, table
-from tempora.llm.lines import dedup_lines
+from tempora.llm.lines import deduplicated_rows
 from tempora.llm.minhash import near_duplicates
 from tempora.llm.packing import pack_digest
-from tempora.llm.secrets import scan
+from tempora.llm.secrets import redacted_rows
 from tempora.llm.toxicity import CUTOFF, score_rows, train
 
 
-def _same_rows(docs: DataFrame, names: list[str]) -> DataFrame:
-    return docs.select(*names).withColumn("n_chars", F.length("text").cast("long"))
+def _rows(changed: DataFrame, like: DataFrame) -> DataFrame:
+    """The structs in `row` as columns again, `n_chars` counted anew."""
+    n_chars = F.length("row.text").cast("long").alias("n_chars")
+    return changed.select(*[n_chars if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in like.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose score stays below the cutoff."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score_rows(docs, model).where(F.col("score") < CUTOFF).select(*docs.columns)
+    return score_rows(docs, model).where(F.col("result") < CUTOFF).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs from the texts; every document stays."""
-    return _same_rows(dedup_lines(docs), docs.columns)
+    return _rows(deduplicated_rows(docs), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each near-duplicate group."""
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
+    named = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
     return named.unionByName(docs.where("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret found by a mark."""
-    return _same_rows(scan(docs, rows=True).drop("spans"), docs.columns)
+    return _rows(redacted_rows(docs), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
