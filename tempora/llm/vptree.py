@@ -3,9 +3,10 @@
 Largest inner product becomes least distance by one more coordinate: with M the
 greatest norm of all vectors, x is extended by sqrt(M^2 - |x|^2) and a query by
 0, so |x' - q'|^2 = M^2 + |q|^2 - 2 q.x. Vectors are dealt to shards by a hash
-of their id; each shard's tree is built once. Queries go to the shards in
-blocks, so a task holds one shard and one block of queries, and answers the
-whole block in one walk down the tree: a subtree is skipped for the queries
+of their id and shuffled once; the task that owns a shard builds its tree once
+and then streams the queries past it, batch by batch, so it holds one shard and
+one batch of queries. A batch is answered in one walk down the tree: a subtree
+is skipped for the queries
 whose best `k` so far lie nearer than the subtree's shell, by the triangle
 inequality. `relax` widens the shell distance that counts as too far: 1 skips
 only what cannot hold a better answer (exact), more skips sooner. Answers of
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-SHARD_ROWS = 8192
-QUERY_BLOCK = 8192
+SHARD_ROWS = 16384
+QUERY_BATCH = 4096
 LEAF = 512
 K = 20
 QUERY_EVERY = 20
@@ -51,19 +52,29 @@ def build(points: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Node:
     return Node(vantage=vantage, low=(d[a[0]], d[b[0]]), high=(d[a[-1]], d[b[-1]]), near=build(points, rows[a], leaf), far=build(points, rows[b], leaf))
 
 
+class Shard:
+    """The tree of a shard, built once. ids ascend with the row, so ties fall to the smaller id."""
+
+    def __init__(self, points: np.ndarray, ids: np.ndarray, top: float):
+        order = np.argsort(ids)
+        self.points, self.ids, self.top = points[order], ids[order], top
+        norms = (self.points**2).sum(axis=1)
+        self.lifted = np.hstack([self.points, np.sqrt(np.maximum(top * top - norms, 0))[:, None]])
+        self.root = build(self.lifted, np.arange(len(self.points)))
+
+
 class Search:
-    """The best k of a shard for a block of queries. ids ascend with the row, so ties fall to the smaller id."""
+    """The best k of a shard for a batch of queries."""
 
-    def __init__(self, points, ids, top: float, queries, query_ids, k: int, relax: float):
-        norms = (points**2).sum(axis=1)
-        self.points, self.ids, self.queries, self.query_ids, self.k, self.relax = points, ids, queries, query_ids, k, relax
-        self.lifted = np.hstack([points, np.sqrt(np.maximum(top * top - norms, 0))[:, None]])
+    def __init__(self, shard: Shard, queries: np.ndarray, query_ids: np.ndarray, k: int, relax: float):
+        self.points, self.ids, self.lifted = shard.points, shard.ids, shard.lifted
+        self.queries, self.query_ids, self.k, self.relax = queries, query_ids, k, relax
         self.asked = np.hstack([queries, np.zeros((len(queries), 1))])
-        self.base = top * top + (queries**2).sum(axis=1)
-        self.slack = np.sqrt((queries**2).sum(axis=1)) * top * 1e-12  # far above the rounding of a product
+        self.base = shard.top**2 + (queries**2).sum(axis=1)
+        self.slack = np.sqrt((queries**2).sum(axis=1)) * shard.top * 1e-12  # far above the rounding of a product
         self.score = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
-        self.walk(build(self.lifted, np.arange(len(points))), np.arange(len(queries)))
+        self.walk(shard.root, np.arange(len(queries)))
 
     def reach(self, asking: np.ndarray) -> np.ndarray:
         """Distance of the k-th best so far, with a little room for rounding so that ties are looked at."""
@@ -118,7 +129,19 @@ def clean_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, relax: float = 1.0, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _stretches(batches):
+    """(shard, whether queries, ids, vectors) for each run of equal shard, dim and kind within a batch."""
+    for batch in batches:
+        shard, dim, kind, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "dim", "kind", "vec_id"))
+        changes = (shard[1:] != shard[:-1]) | (dim[1:] != dim[:-1]) | (kind[1:] != kind[:-1])
+        cuts = [0, *(np.flatnonzero(changes) + 1), len(shard)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                x = batch.column("x").slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
+                yield (int(dim[a]), int(shard[a])), bool(kind[a]), ids[a:b], x.reshape(b - a, -1)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, relax: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k vectors of largest inner product, its own id left out.
 
     `vectors` and `queries` have vec_id and embedding. Null, zero and
@@ -131,25 +154,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, relax: float = 1
     stats = pool.agg(F.count("*").alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("top")).first()
     n, top = stats["n"], float(np.sqrt(stats["top"] or 0.0)) * (1 + 1e-12)
     shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-asked.count() // query_block))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(int(count) - 1)))
-    own = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(int(count))).cast("int")
-    left = pool.withColumn("shard", own(shards)).withColumn("block", every(blocks))
-    right = asked.withColumn("block", own(blocks)).withColumn("shard", every(shards))
-
-    def search(_, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if mine.num_rows and theirs.num_rows:
-            ids, qids = mine.column("vec_id").to_numpy(), theirs.column("vec_id").to_numpy()
-            order = np.argsort(ids)
-            dense = lambda t: t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-            s = Search(dense(mine)[order], ids[order], top, dense(theirs), qids, k, relax)
-            some = np.isfinite(s.score)
-            out = {"query_id": np.repeat(qids, k)[some.ravel()], "vec_id": s.found[some], "score": s.score[some]}
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    key = ["shard", "block", "dim"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(int(shards))).cast("int").alias("shard")
+    every = F.explode(F.sequence(F.lit(0), F.lit(int(shards) - 1))).alias("shard")
+    mine = pool.select("dim", own, F.lit(0).alias("kind"), "vec_id", "x")
+    met = mine.unionByName(asked.select("dim", every, F.lit(1).alias("kind"), "vec_id", "x"))
+
+    def search(batches):
+        key, held, shard = None, [], None
+        for at, asking, ids, x in _stretches(batches):
+            if at != key:
+                key, held, shard = at, [], None
+            if not asking:
+                held.append((ids, x))
+                continue
+            if not held:
+                continue  # no vector of this length in the shard
+            shard = shard or Shard(np.concatenate([h[1] for h in held]), np.concatenate([h[0] for h in held]), top)
+            for i in range(0, len(ids), QUERY_BATCH):
+                s = Search(shard, x[i : i + QUERY_BATCH], ids[i : i + QUERY_BATCH], k, relax)
+                some = np.isfinite(s.score)
+                found = [pa.array(np.repeat(s.query_ids, k)[some.ravel()], pa.int64()), pa.array(s.found[some], pa.int64()), pa.array(s.score[some], pa.float64())]
+                yield pa.RecordBatch.from_arrays(found, names=["query_id", "vec_id", "score"])
+
+    dealt = met.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

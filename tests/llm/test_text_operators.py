@@ -482,7 +482,7 @@ def test_nearest(spark, relax):
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(2000, None, 0), (2001, [0.0] * 8, 0), (2002, [float("nan")] * 8, 0), (2003, [None] * 8, 0), (2004, [float("inf")] * 8, 0), (None, [1.0] * 8, 0)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = {}
-    for r in vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"), relax=relax, shard_rows=300, query_block=20).collect():
+    for r in vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"), relax=relax, shard_rows=300).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     x = x.astype(float)
     hits = 0
@@ -499,6 +499,9 @@ def test_nearest(spark, relax):
 def test_nearest_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vptree.nearest(none, none).count() == 0
+    again = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, [1.0, 0.0], 1), (1, [3.0, 0.0], 1), (2, [1.0], 1), (3, [2.0], 1)], "vec_id long, embedding array<float>, shard int")
+    got = sorted((r["query_id"], r["vec_id"], r["score"]) for r in vptree.nearest(again, again).collect())
+    assert got == [(0, 1, 3.0), (1, 0, 3.0), (2, 3, 2.0), (3, 2, 2.0)]
     two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in vptree.nearest(two, two.where("vec_id = 0")).collect()] == [(0, 1, 1.0)]
 
