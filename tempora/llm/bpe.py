@@ -1,12 +1,16 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text longer than `leaf_chars` is cut in halves, again and again, wherever
-the middle falls. The leaves are encoded independently (all leaves of a batch
-in one call); then each join is mended from the bottom up: the text around it
-is encoded anew in a window that doubles until its outermost units equal the
-ones that the two sides already have. A unit is a stretch between ASCII white
-space, over which the pre-tokenizer never reaches, so equal units at both
-window ends prove that everything outside the window stands.
+A unit is a stretch between ASCII white space, over which the pre-tokenizer
+never reaches, so units are encoded by themselves. A unit longer than
+`leaf_chars` is unsplit text: it is cut in halves, again and again, wherever the
+middle falls. The leaves are encoded independently (all leaves of a unit in one
+call); then each join is mended from the bottom up: the text around it is
+encoded anew in a window that doubles until, on either side of the join, two
+neighbouring tokens of the window are tokens of that side too, at the same
+places. What stands before the first of them on the left and after the second
+on the right is kept. A token sequence is the encoding of its text when every
+pair of neighbours is the encoding of its own text, and each pair of the result
+comes from one correct encoding, so the result is the encoding of the whole.
 
 Units repeat heavily in any corpus, so leaves are encoded through a bounded
 cache of units; unknown units of a batch go to the tokenizer in one call.
@@ -17,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import doc_texts, table, uncollected
 
-LEAF_CHARS = 1 << 16
+LEAF_CHARS = 1 << 12
 FIRST_WINDOW = 32
 CACHE_UNITS = 300_000
 #: Texts are tokenized in groups of about this many characters, to bound a worker's memory.
@@ -53,6 +58,9 @@ class Codec:
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
         spec = json.loads(self.tok.to_str())
+        #: No window starts inside an added token that crosses the join.
+        self.longest_added = max((len(t["content"]) for t in spec["added_tokens"]), default=0) + 4
+        self.window_chars = 0  # characters that trees have encoded, leaves and windows
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         #: Ids that end a word, where the file marks word ends and splits letters from other signs; else None.
         self.ends = {i for t, i in self.tok.get_vocab().items() if t.endswith(self.suffix)} if self.suffix and "\\p{L}" in json.dumps(spec["pre_tokenizer"]) and "ByteLevel" in json.dumps(spec["pre_tokenizer"]) else None
@@ -96,6 +104,8 @@ class Codec:
         for u in new:
             if (v := self.old.get(u)) is not None:
                 found[u] = v
+            elif len(u) > self.leaf_chars:
+                found[u] = self.form(self.tree_ids(u))
             elif self.ends is None:
                 whole.append(u)
             else:
@@ -137,46 +147,61 @@ class Codec:
 
     def encode_units(self, texts: list[str]) -> list[list]:
         """For each text, the values of its units in order (joined, their ids are the encoding)."""
-        plan = [self.leaves(t) for t in texts]
-        coded = iter(self._values([self.units(t[a:b]) if len(cuts) > 1 else self.units(t) for t, cuts in zip(texts, plan, strict=True) for a, b in cuts]))
-        return [self._tree(t, cuts, [next(coded) for _ in cuts]) for t, cuts in zip(texts, plan, strict=True)]
-
-    def _tree(self, text: str, cuts: list[tuple[int, int]], coded: list[list]) -> list:
-        """Join neighbours level by level."""
+        return self._values([self.units(t) for t in texts])
+
+    def _placed(self, unit: str, spans: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
+        """Tokens of unit[a:b] for each span as (id, start, end) in the unit."""
+        self.window_chars += sum(b - a for a, b in spans)
+        coded = self.tok.encode_batch([unit[a:b] for a, b in spans], add_special_tokens=False)
+        return [[(i, a + x, a + y) for i, (x, y) in zip(e.ids, e.offsets, strict=True)] for e, (a, _) in zip(coded, spans, strict=True)]
+
+    def tree_ids(self, unit: str) -> list[int]:
+        """Ids of an unsplit unit by its halving tree, joined level by level."""
+        spans = self.leaves(unit)
+        coded = self._placed(unit, spans)
         while len(coded) > 1:
-            joined, spans = [], []
+            joined, over = [], []
             for i in range(0, len(coded) - 1, 2):
-                joined.append(self._join(text, cuts[i], cuts[i + 1], coded[i], coded[i + 1]))
-                spans.append((cuts[i][0], cuts[i + 1][1]))
+                joined.append(self._join(unit, spans[i], spans[i + 1], coded[i], coded[i + 1]))
+                over.append((spans[i][0], spans[i + 1][1]))
             if len(coded) % 2:
                 joined.append(coded[-1])
-                spans.append(cuts[-1])
-            coded, cuts = joined, spans
-        return coded[0]
+                over.append(spans[-1])
+            coded, spans = joined, over
+        return [t[0] for t in coded[0]]
 
-    def _join(self, text: str, left_span: tuple[int, int], right_span: tuple[int, int], left: list, right: list) -> list:
+    def _join(self, unit: str, left_span: tuple[int, int], right_span: tuple[int, int], left: list, right: list) -> list:
         (lo, cut), (_, hi) = left_span, right_span
-        if not left or not right or text[cut - 1] in " \n\t\r" or text[cut] in " \n\t\r":
-            return left + right  # white space at the cut: no unit was broken
-        reach = self.first_window
+        reach = max(self.first_window, self.longest_added)
         while True:
             a, b = max(lo, cut - reach), min(hi, cut + reach)
-            mid = self._values([self.units(text[a:b])])[0]
-            # The window's own ends may break a unit, so its outermost units count only where a side ends too.
-            whole_left, whole_right = a == lo, b == hi
-            start, stop = (0 if whole_left else 1), (len(mid) if whole_right else len(mid) - 1)
-            n_left = len(self.units(text[a:cut])) - 1 - start  # whole units before the one at the cut
-            n_right = len(self.units(text[cut:b])) - 1 - (len(mid) - stop)
-            left_ok = whole_left or n_left >= 1 and mid[start : start + n_left] == left[len(left) - 1 - n_left : len(left) - 1]
-            right_ok = whole_right or n_right >= 1 and mid[stop - n_right : stop] == right[1 : 1 + n_right]
-            if left_ok and right_ok:
-                return ([] if whole_left else left[: len(left) - 1 - n_left]) + mid[start:stop] + ([] if whole_right else right[1 + n_right :])
+            mid = self._placed(unit, [(a, b)])[0]
+            near_left = left[bisect_left(left, a, key=lambda t: t[1]) :]
+            near_right = right[: bisect_right(right, b, key=lambda t: t[2])]
+            before = (0, 0) if a == lo else _meeting(mid, near_left, lambda t: t[2] <= cut)
+            after = (len(mid), len(near_right)) if b == hi else _meeting(mid, near_right, lambda t: t[1] >= cut)
+            if before and after:
+                kept = left[: len(left) - len(near_left) + before[1]] if a > lo else []
+                rest = right[after[1] :] if b < hi else []
+                return kept + mid[before[0] : after[0]] + rest
             reach *= 2
 
     def token_text(self, ids: Iterable[int]) -> str:
         return self.tok.decode(list(ids), skip_special_tokens=False)
 
 
+def _meeting(mid: list, side: list, where: Callable) -> tuple[int, int] | None:
+    """The first places (in `mid`, in `side`) of a token that both hold there with the token after it; the window's own ends do not count."""
+    at = {}
+    for j, t in enumerate(side):
+        at[t] = None if t in at else j  # bytes of one character may repeat
+    for i in range(1, len(mid) - 2):
+        j = at.get(mid[i])
+        if j is not None and where(mid[i]) and where(mid[i + 1]) and j + 1 < len(side) and side[j + 1] == mid[i + 1]:
+            return i, j
+    return None
+
+
 def grouped(texts: list[str], limit: int = GROUP_CHARS) -> Iterator[tuple[int, list[str]]]:
     """(first index, texts) in runs of about `limit` characters."""
     start, held = 0, 0

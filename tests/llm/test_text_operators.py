@@ -36,6 +36,20 @@ def test_tree_encoding_is_exact(tok, texts, leaf, window):
     assert [[i for u in units for i in u] for units in codec.encode_units(rows)] == [ids_of(tok, t) for t in rows]
 
 
+def test_unsplit_text_is_mended_in_small_windows(tok):
+    rng = random.Random(21)
+    kinds = ["abcdefghij", "the and of ing tion er".replace(" ", ""), "ab'llre", "日本語テキスト", "q9$!?.,", "éüñß", "aaaab", "0123456789", "<|endoftext|>x", "İΣ"]
+    codec = bpe.Codec(bpe.default_tokenizer_path(), leaf_chars=64, first_window=8)
+    for k in range(300):
+        alphabet = kinds[k % len(kinds)] if k % 3 else "".join(rng.sample(kinds, 3))
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(65, 900))) if k % 2 else (alphabet * 200)[: rng.randrange(65, 900)]
+        assert [i for u in codec.encode_units([text])[0] for i in u] == ids_of(tok, text), text
+    codec = bpe.Codec(bpe.default_tokenizer_path())
+    text = "".join(rng.choice(["ta", "the", "ing", "'s", "9", "x", "$$"]) for _ in range(60_000))
+    assert [i for u in codec.encode_units([text])[0] for i in u] == ids_of(tok, text)
+    assert codec.window_chars < 1.1 * len(text)  # the leaves, and little around each join
+
+
 def test_small_caches_change_nothing(tok, texts):
     codec = bpe.Codec(bpe.default_tokenizer_path(), cache_units=50)
     for _, t in texts[:20]:
