@@ -228,3 +228,14 @@ def from_cell(cell: Column) -> Column:
     letters, row = F.regexp_extract(cell, "^([A-Za-z]+)([0-9]+)$", 1), F.regexp_extract(cell, "^([A-Za-z]+)([0-9]+)$", 2)
     column = F.aggregate(F.filter(F.split(F.upper(letters), ""), lambda c: c != ""), F.lit(0), lambda s, c: s * 26 + F.ascii(c) - 64)
     return F.when(letters != "", F.array(column, row.try_cast("int"))).otherwise(F.array(F.lit(0), F.lit(0)))
+
+
+def is_type(a: Column, kind: str) -> Column:
+    """Whether all elements, given as text, read as `number` or `boolean`; any text is a `string`."""
+    fits = {"number": lambda v: v.try_cast("double").isNotNull(), "boolean": lambda v: v.isin("true", "false"), "string": lambda v: v.isNotNull()}[kind]
+    return F.forall(a, fits)
+
+
+def has_header(first_row: Column) -> Column:
+    """Whether every cell of a table's first row is text rather than a number."""
+    return F.forall(first_row, lambda v: v.isNotNull() & v.try_cast("double").isNull())

@@ -74,3 +74,18 @@ def delta_e(a: Column, b: Column) -> Column:
 
 def grey_value(r: Column) -> Column:
     return r / 255.0
+
+
+def parse_colour(text: Column, names: dict[str, str] | None = None) -> Column:
+    """[r, g, b, a] of #rgb, #rgba, #rrggbb, #rrggbbaa, rgb(), rgba() or a name of `names` (name: #rrggbb); null for anything else. a is 0 to 1."""
+    low = F.lower(F.trim(text))
+    if names:
+        named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        low = F.coalesce(F.element_at(named, low), low)
+    short = low.rlike("^#[0-9a-f]{3,4}$")
+    digits = F.substring(F.when(short, F.regexp_replace(low, "([0-9a-f])", "$1$1")).otherwise(low), 2, 8)
+    pair = lambda i: F.conv(F.substring(digits, i, 2), 16, 10).cast("double")
+    alpha = F.when(F.length(digits) == 8, F.round(pair(7) / 255, 4)).otherwise(1.0)
+    parts = F.transform(F.regexp_extract_all(low, F.lit(r"[\d.]+"), F.lit(0)), lambda v: v.cast("double"))
+    called = F.concat(F.slice(parts, 1, 3), F.array(F.coalesce(F.get(parts, F.lit(3)), F.lit(1.0))))
+    return F.when(low.rlike("^#([0-9a-f]{3,4}|[0-9a-f]{6}|[0-9a-f]{8})$"), F.array(pair(1), pair(3), pair(5), alpha)).when(low.rlike(r"^rgba?\([\d.,\s]+\)$") & (F.size(parts) >= 3), called)

@@ -138,3 +138,23 @@ def depth(doc: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(doc, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
     step = lambda s, c: F.struct((s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("most"))
     return F.when(bare == "", 0).otherwise(F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"]))
+
+
+def values_list(m: Column) -> Column:
+    return F.map_values(m)
+
+
+def sub_keys(doc: Column, only_objects: bool = False) -> Column:
+    """All keys of a JSON document at any depth, in its order; with `only_objects` those whose value is an object."""
+    key = r'"((?:[^"\\]|\\.)*)"\s*:' + (r"\s*\{" if only_objects else "")
+    return F.regexp_extract_all(doc, F.lit(key), F.lit(1))
+
+
+def serialise(value: Column) -> Column:
+    """A value as JSON text, nulls kept."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def strictly_equal(a: Column, b: Column) -> Column:
+    """Equal values of one type; nulls equal each other."""
+    return a.eqNullSafe(b) & (F.typeof(a) == F.typeof(b))

@@ -168,3 +168,11 @@ def localise(key: Column, texts: dict[str, str], *args: Column) -> Column:
     for i, a in enumerate(args):
         out = F.replace(out, F.lit(f"{{{i}}}"), a.cast("string"))
     return out
+
+
+def printed_tokens(text: Column) -> Column:
+    """Tokens of printed output such as `[1] 1.5 "a b" TRUE`: index marks go, quotes go, order stays; each with its kind."""
+    tokens = F.regexp_extract_all(F.regexp_replace(text, r"(?m)^\s*\[\d+\]", ""), F.lit(r'"(?:[^"]*)"|\S+'), F.lit(0))
+    bare = lambda v: F.regexp_replace(v, '^"|"$', "")
+    kind = lambda v: F.when(v.startswith('"'), "string").when(v.isin("TRUE", "FALSE"), "boolean").when(v.isin("NA", "NULL"), "null").when(v.try_cast("double").isNotNull(), "number").otherwise("string")
+    return F.transform(tokens, lambda v: F.struct(kind(v).alias("kind"), bare(v).alias("text")))

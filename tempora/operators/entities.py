@@ -103,3 +103,19 @@ def branch(actions: DataFrame, timelines: DataFrame, source: str, at: int, new:
 
 def truncate(actions: DataFrame, timeline: str, at: int) -> DataFrame:
     return actions.where(~((F.col("timeline") == timeline) & (F.col("idx") >= at)))
+
+
+def keyframe_dates(histories: DataFrame, members: DataFrame, entity: str, ts: str) -> DataFrame:
+    """Distinct times at which any of the members (id) has a keyframe."""
+    return histories.join(members.select(F.col("id").alias(entity)).distinct(), entity, "left_semi").select(ts).distinct()
+
+
+def geocode(wanted: DataFrame, gazetteer: DataFrame, name: str) -> DataFrame:
+    """`wanted` with lat and lng of the most populous place of its name in `gazetteer` (name, lat, lng, population); [0, 0] where there is none.
+
+    Names match without regard to case and outer blanks; unknown populations
+    come last, equals by coordinates. One row a name is joined, never all hits.
+    """
+    key = lambda c: F.lower(F.trim(c))
+    best = gazetteer.groupBy(key(F.col("name")).alias("_k")).agg(F.max_by(F.struct("lat", "lng"), F.struct(F.coalesce("population", F.lit(-1)), "lat", "lng")).alias("_p"))
+    return wanted.withColumn("_k", key(F.col(name))).join(best, "_k", "left").select(*wanted.columns, *[F.coalesce(F.col(f"_p.{c}"), F.lit(0.0)).alias(c) for c in ("lat", "lng")])

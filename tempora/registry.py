@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import columns, core, pipelines, rasters, series, tables  # noqa: F401 - importing registers
+from .plans import columns, core, files, kernels, pipelines, rasters, series, tables  # noqa: F401 - importing registers
 
 FLAGSHIP = "rake_global"
 

@@ -31,11 +31,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet and read back, for loops: computed once, its plan (and what the optimizer knows of it) forgotten."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/tempora-round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session ends."""
+    path = f"{folder(spark)}/tempora-{name}-{uuid.uuid4().hex}"
 
     def remove() -> None:
         try:
@@ -45,4 +43,11 @@ def written(df: DataFrame) -> DataFrame:
             return
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet and read back, for loops: computed once, its plan (and what the optimizer knows of it) forgotten."""
+    path = place(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

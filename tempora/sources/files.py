@@ -67,13 +67,86 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
 
 def project_save(spark: SparkSession, path: str) -> DataFrame:
     """(id, class_name, type, ts, value) of a saved project: a JSON object of entities whose history is JSON text with keyframes by timestamp."""
-    whole = spark.read.text(path, wholetext=True)
+    return _project(spark.read.text(path, wholetext=True))
+
+
+def _project(whole: DataFrame) -> DataFrame:
     entity = "struct<id: string, class_name: string, type: string, history: string, value: string>"
     entries = whole.select(F.explode(F.from_json("value", f"map<string, {entity}>")).alias("id", "e"))
     frames = F.from_json(F.get_json_object("e.history", "$.keyframes"), "map<string, struct<value: array<string>>>")
     return entries.select("id", "e.class_name", "e.type", F.explode_outer(frames).alias("ts", "k")).select("id", "class_name", "type", F.col("ts").cast("bigint").alias("ts"), F.transform("k.value", lambda v: F.when(v != "undefined", v)).alias("value"))
 
 
+def write_project(states: DataFrame, path: str) -> None:
+    """A saved project from (id, class_name, type, ts, value): as `project_save` reads it, an entity an object, its keyframes as JSON text.
+
+    One text line an entity inside one object a file: entities are dealt to
+    files, so no task holds all of them, and the reader merges the files.
+    """
+    frame = F.struct("ts", F.concat(F.lit('"'), F.col("ts").cast("string"), F.lit('":'), F.to_json(F.struct(F.transform("value", lambda v: F.coalesce(v, F.lit("undefined"))).alias("value")))).alias("text"))
+    frames = F.array_join(F.transform(F.sort_array(F.collect_list(frame)), lambda x: x["text"]), ",")  # one entity's own history
+    whole = states.groupBy("id", "class_name", "type").agg(F.concat(F.lit('{"keyframes":{'), frames, F.lit("}}")).alias("history"))
+    lines = whole.select(F.to_json(F.create_map("id", F.struct("id", "class_name", "type", "history"))).alias("value"))
+    lines.write.mode("overwrite").text(path)
+
+
+def project_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As `project_save`, of the files that `write_project` makes: one JSON object a line."""
+    return _project(spark.read.text(path))
+
+
+def texts_by_tag(pages: DataFrame, key: str, html: str, selectors: list[str]) -> DataFrame:
+    """(key, text): the text inside the elements that match any of the selectors (tag, .class, #id or tag.class), in page order, joined by line feeds."""
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame([(k, _Selected.of(text or "", selectors)) for k, text in zip(pdf[key], pdf[html], strict=True)], columns=[key, "text"])
+
+    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, text string")
+
+
+class _Selected(HTMLParser):
+    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+    def __init__(self, selectors: list[str]):
+        super().__init__()
+        self.selectors, self.open, self.parts = selectors, [], []
+
+    @classmethod
+    def of(cls, text: str, selectors: list[str]) -> str:
+        parser = cls(selectors)
+        parser.feed(text)
+        parser.close()
+        return "\n".join("".join(p).strip() for p in parser.parts)
+
+    def _matches(self, tag: str, attrs: dict) -> bool:
+        classes = (attrs.get("class") or "").split()
+        for s in self.selectors:
+            name, _, rest = s.partition(".")
+            if s.startswith("#") and attrs.get("id") == s[1:] or s.startswith(".") and rest in classes or name and not s.startswith("#") and tag == name and (not rest or rest in classes):
+                return True
+        return False
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.VOID:
+            return
+        hit = self._matches(tag, dict(attrs))
+        if hit:
+            self.parts.append([])
+        self.open.append((tag, len(self.parts) - 1 if hit else None))
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                break
+
+    def handle_data(self, data):
+        for _, part in self.open:
+            if part is not None:
+                self.parts[part].append(data)
+
+
 class _Tables(HTMLParser):
     def __init__(self):
         super().__init__()

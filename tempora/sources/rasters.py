@@ -1,7 +1,8 @@
-"""Raster files as rows of cells: ASCII grids, classic NetCDF, numbers in PNG pixels, KMZ layers.
+"""Raster files as rows of cells: ASCII grids, classic NetCDF, GeoTIFF, numbers in PNG pixels, KMZ layers.
 
 Files are read whole by the task that owns them (binaryFile), parsed to arrays
-and emitted as cells (file, layer, row, col, v); nodata is null.
+and emitted as cells (file, layer, row, col, v); nodata is null. Readers take a
+path or a table of files (file, content), as the writers make it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import struct
 import zipfile
 import zlib
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
@@ -20,11 +22,13 @@ from pyspark.sql import functions as F
 CELLS = "file string, layer int, row int, col int, v double"
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    if isinstance(path, DataFrame):
+        return path.select("file", "content")
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
 
 
-def _cells(spark: SparkSession, path: str, parse) -> DataFrame:
+def _cells(spark: SparkSession, path: str | DataFrame, parse) -> DataFrame:
     def run(frames):
         for pdf in frames:
             for file, content in zip(pdf["file"], pdf["content"], strict=True):
@@ -49,10 +53,25 @@ def parse_asc(content: bytes) -> list[np.ndarray]:
     return [np.where(grid == head.get("nodata_value", np.nan), np.nan, grid)]
 
 
-def read_asc(spark: SparkSession, path: str) -> DataFrame:
+def read_asc(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return _cells(spark, path, parse_asc)
 
 
+def grids_as_files(cells: DataFrame, width: int, height: int, encode, name: str = "year") -> DataFrame:
+    """(file, content): one file's bytes for each value of the layer column `name`, which is the file's name; cells have row, col and v.
+
+    `encode` makes the bytes of a (height, width) array, missing cells as NaN. A
+    task holds one grid at a time.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.full((height, width), np.nan)
+        grid[pdf["row"], pdf["col"]] = pdf["v"]
+        return pd.DataFrame({"file": [str(pdf[name].iloc[0])], "content": [encode(grid)]})
+
+    return cells.select(name, "row", "col", "v").groupBy(name).applyInPandas(run, "file string, content binary")
+
+
 def asc_text(grid: np.ndarray, cell: float = 1.0, nodata: float = -9999) -> str:
     rows = "\n".join(" ".join(f"{nodata if np.isnan(v) else v:g}" for v in r) for r in grid)
     return f"ncols {grid.shape[1]}\nnrows {grid.shape[0]}\nxllcorner -180\nyllcorner -90\ncellsize {cell:g}\nNODATA_value {nodata:g}\n{rows}\n"
@@ -120,7 +139,16 @@ def parse_netcdf(content: bytes) -> dict[str, tuple[list[str], np.ndarray]]:
     return out
 
 
-def netcdf_variables(spark: SparkSession, path: str) -> DataFrame:
+def netcdf_bytes(variable: str, values: np.ndarray) -> bytes:
+    """A classic NetCDF file of one double variable over (time, lat, lon)."""
+    label = lambda s: struct.pack(">i", len(s)) + s.encode() + b"\0" * (-len(s) % 4)
+    dims = b"".join(label(n) + struct.pack(">i", size) for n, size in zip(("time", "lat", "lon"), values.shape, strict=True))
+    head = b"CDF\x01" + struct.pack(">iii", 0, 10, 3) + dims + struct.pack(">iiii", 0, 0, 11, 1)
+    about = label(variable) + struct.pack(">iiiiii", 3, 0, 1, 2, 0, 0) + struct.pack(">ii", 6, values.nbytes)
+    return head + about + struct.pack(">i", len(head) + len(about) + 4) + values.astype(">f8").tobytes()
+
+
+def netcdf_variables(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(file, variable, dims, shape)."""
 
     def run(frames):
@@ -131,7 +159,7 @@ def netcdf_variables(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(run, "file string, variable string, dims array<string>, shape array<int>")
 
 
-def read_netcdf(spark: SparkSession, path: str, variable: str) -> DataFrame:
+def read_netcdf(spark: SparkSession, path: str | DataFrame, variable: str) -> DataFrame:
     """Cells of one variable; its leading dimension (time) is the layer."""
 
     def parse(content: bytes) -> list[np.ndarray]:
@@ -206,7 +234,7 @@ def decode_numbers(pixels: np.ndarray) -> np.ndarray:
     return p[:, :, 0] * 16777216 + p[:, :, 1] * 65536 + p[:, :, 2] * 256 + (p[:, :, 3] if p.shape[2] > 3 else 255)
 
 
-def read_png(spark: SparkSession, path: str, mode: str = "number") -> DataFrame:
+def read_png(spark: SparkSession, path: str | DataFrame, mode: str = "number") -> DataFrame:
     """Cells of PNG rasters: `number` (32 bits a pixel) or `grey` (0 … 1)."""
 
     def parse(content: bytes) -> list[np.ndarray]:
@@ -229,7 +257,7 @@ def write_png(cells: DataFrame, width: int, height: int, folder: str) -> DataFra
     return out.sparkSession.read.parquet(folder)
 
 
-def read_kmz(spark: SparkSession, path: str) -> DataFrame:
+def read_kmz(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(file, kind, coordinates, name, description) of the placemarks of KMZ or KML files."""
 
     def run(frames):
@@ -251,6 +279,118 @@ def read_kmz(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(run, "file string, kind string, coordinates array<array<double>>, name string, description string")
 
 
+def kml_text(marks: list[tuple[str, str, list]]) -> str:
+    """A KML document of (kind, name, points) placemarks."""
+    one = lambda kind, points: f"<{kind}><coordinates>{' '.join(f'{x},{y},0' for x, y in points)}</coordinates></{kind}>"
+    shape = lambda kind, points: f"<Polygon><outerBoundaryIs>{one('LinearRing', points)}</outerBoundaryIs></Polygon>" if kind == "Polygon" else one(kind, points)
+    body = "".join(f"<Placemark><name>{escape(name)}</name>{shape(kind, points)}</Placemark>" for kind, name, points in marks)
+    return f'<kml xmlns="http://www.opengis.net/kml/2.2"><Document>{body}</Document></kml>'
+
+
+def kmz_bytes(marks: list[tuple[str, str, list]]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("doc.kml", kml_text(marks))
+    return out.getvalue()
+
+
+_TIFF_SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
+
+
+def _unpack_lzw(data: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, highest bit first; 256 clears the table, 257 ends."""
+    out, table, width, held, bits, last = bytearray(), [], 9, 0, 0, None
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last is not None:
+            table.append(last + entry[:1])
+        last = entry
+        width = max(9, min(12, (len(table) + 1).bit_length()))
+    return bytes(out)
+
+
+def parse_tiff(content: bytes) -> list[np.ndarray]:
+    """The bands of a TIFF raster: strips or tiles, chunky or planar, plain, LZW or deflate, whole numbers or floats; nodata as NaN."""
+    order = {b"II": "<", b"MM": ">"}.get(content[:2])
+    if order is None or struct.unpack(order + "H", content[2:4])[0] != 42:
+        raise ValueError("not a TIFF file")
+    at = struct.unpack(order + "I", content[4:8])[0]
+    tags = {}
+    for i in range(struct.unpack(order + "H", content[at : at + 2])[0]):
+        tag, kind, n = struct.unpack(order + "HHI", content[at + 2 + 12 * i : at + 10 + 12 * i])
+        if kind not in _TIFF_SIZES:
+            continue
+        code, size = _TIFF_SIZES[kind]
+        start = at + 10 + 12 * i
+        if n * size > 4:
+            start = struct.unpack(order + "I", content[start : start + 4])[0]
+        raw = content[start : start + n * size]
+        tags[tag] = raw.rstrip(b"\0").decode() if kind == 2 else struct.unpack(f"{order}{n * len(code)}{code[0]}", raw)
+    one = lambda tag, default: tags.get(tag, (default,))[0]
+    width, height, bands, planar, packed, predictor = tags[256][0], tags[257][0], one(277, 1), one(284, 1) == 2, one(259, 1), one(317, 1)
+    dtype = np.dtype(order + {1: "u", 2: "i", 3: "f"}[one(339, 1)] + str(one(258, 1) // 8))
+    tiled = 324 in tags
+    wide, high = (tags[322][0], tags[323][0]) if tiled else (width, min(one(278, height), height))
+    across, down = -(-width // wide), -(-height // high)
+    each = 1 if planar else bands
+    grid = np.zeros((bands, down * high, across * wide))
+    for i, (start, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
+        raw = content[start : start + size]
+        if packed == 5:
+            raw = _unpack_lzw(raw)
+        elif packed in (8, 32946):
+            raw = zlib.decompress(raw)
+        elif packed != 1:
+            raise ValueError(f"TIFF compression {packed} is not read")
+        band, place = divmod(i, across * down) if planar else (0, i)
+        y, x = place // across * high, place % across * wide
+        rows = len(raw) // (wide * each * dtype.itemsize)
+        block = np.frombuffer(raw, dtype, rows * wide * each).reshape(rows, wide, each)
+        if predictor == 2:
+            block = np.cumsum(block, axis=1, dtype=dtype)
+        elif predictor != 1:
+            raise ValueError(f"TIFF predictor {predictor} is not read")
+        grid[band : band + each, y : y + rows, x : x + wide] = np.moveaxis(block, 2, 0)
+    grid = grid[:, :height, :width]
+    nodata = str(tags.get(42113, "")).strip()
+    return [np.where(b == float(nodata), np.nan, b) if nodata else b for b in grid]
+
+
+def read_tiff(spark: SparkSession, path: str | DataFrame, scale: float = 1.0) -> DataFrame:
+    """Cells of all bands, the band as layer, values times `scale`."""
+    return _cells(spark, path, lambda content: [b * scale for b in parse_tiff(content)])
+
+
+def tiff_bytes(bands: np.ndarray, nodata: float = -9999.0, compress: bool = True) -> bytes:
+    """A little-endian TIFF of (bands, height, width) doubles, planar, one strip a band, NaN as nodata."""
+    n, height, width = bands.shape
+    strips = [np.where(np.isnan(b), nodata, b).astype("<f8").tobytes() for b in bands]
+    strips = [zlib.compress(s) for s in strips] if compress else strips
+    text = f"{nodata:g}".encode() + b"\0"
+    tags = [(256, 4, [width]), (257, 4, [height]), (258, 3, [64] * n), (259, 3, [8 if compress else 1]), (262, 3, [1]), (273, 4, [0] * n), (277, 3, [n]), (278, 4, [height]), (279, 4, list(map(len, strips))), (284, 3, [2]), (339, 3, [3] * n), (42113, 2, text)]
+    spare = 8 + 2 + 12 * len(tags) + 4
+    starts = spare + sum(len(v) * _TIFF_SIZES[k][1] for _, k, v in tags if len(v) * _TIFF_SIZES[k][1] > 4)
+    tags[5] = (273, 4, [starts + sum(map(len, strips[:i])) for i in range(n)])
+    entries, beyond = b"", b""
+    for tag, kind, values in tags:
+        code, size = _TIFF_SIZES[kind]
+        raw = values if kind == 2 else struct.pack(f"<{len(values)}{code}", *values)
+        entries += struct.pack("<HHI", tag, kind, len(values)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", spare + len(beyond)))
+        beyond += raw if len(raw) > 4 else b""
+    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + beyond + b"".join(strips)
+
+
 def mask_years(files: DataFrame, path: str = "path") -> DataFrame:
     """start and end year of files named <name>_<start>_<end>.png; others left out."""
     at = lambda i: F.regexp_extract(path, r"_(-?\d+)_(-?\d+)\.png$", i).try_cast("int")

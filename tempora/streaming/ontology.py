@@ -101,6 +101,16 @@ def nearest_keyframe(states: DataFrame, when: Column) -> DataFrame:
     return states.groupBy("id").agg(F.min_by("date", F.struct(F.abs(F.col("date") - when), F.col("date"))).alias("date"))
 
 
+def delete_keyframes(events: DataFrame, gone: DataFrame) -> DataFrame:
+    """Events without those of `gone` (id, date). Differences are built from states, so what follows is re-delta'd when it is stored next."""
+    return events.join(gone.select("id", "date"), ["id", "date"], "left_anti")
+
+
+def move_keyframes(events: DataFrame, moves: DataFrame) -> DataFrame:
+    """Events re-dated by `moves` (id, date, to); where the new time has an event already, both are merged by `snapshots`."""
+    return events.join(moves.select("id", "date", "to"), ["id", "date"], "left").withColumn("date", F.coalesce("to", "date")).select(events.columns)
+
+
 def between(states: DataFrame, start: int, end: int) -> DataFrame:
     return states.where(F.col("date").between(start, end))
 
