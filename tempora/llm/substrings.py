@@ -11,7 +11,10 @@
 3. Around each shared anchor a document is cut to the segment (80 bytes) that
    holds all 50-byte strings containing it. Segments are dealt by anchor; equal
    ones are collapsed before and after the shuffle onto their least doc_id,
-   which keeps all places where it holds the segment.
+   which keeps all places where it holds the segment. An anchor of very many
+   texts is split by the bytes beside it: for each of four ranges of its place
+   in the string, segments are dealt by the 43 or 44 bytes that all strings of
+   the range share, so a string's holders still meet.
 4. The distinct segments of a bucket, in collections of bounded size, go
    through the column-wise construction: in each round one symbol of every
    segment is inserted, right to left, and the transform's symbols, sorted
@@ -42,6 +45,12 @@ GROUP_BYTES = 1 << 20
 SEND_BYTES = 16 << 20
 #: A bucket gets the anchors of about this many bytes of text.
 BUCKET_BYTES = 8 << 20
+#: An anchor that more classes hold is split by the bytes beside it; at most so many anchors (8 bytes each) are, those of most classes.
+HOT_CLASSES, MOST_HOT = 20_000, 1 << 18
+#: Places of an anchor in a string of SPAN bytes, in ranges that a split anchor is dealt by.
+RANGES = ((0, 7), (8, 15), (16, 23), (24, SPAN - K))
+#: Buckets that one task works through.
+TASK_BUCKETS = 4
 #: Segments in one construction (one anchor's segments stay together).
 COLLECTION = 4096
 #: Bits in the name of a class (at most 48); classes may share a name.
@@ -90,6 +99,12 @@ def _unsix(x: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows by bucket; the number of tasks grows with that of the buckets."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // TASK_BUCKETS))
+    return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+
+
 def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
     """(cls, anchor) for each anchor hash that several classes hold."""
 
@@ -144,7 +159,7 @@ def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(h.astype(np.int64))], names=["cls", "anchor"])
 
     blobs = texts.select("cls", "text").mapInArrow(send, "bucket long, h binary, c binary, known_h binary, known_c binary")
-    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "cls long, anchor long")
+    return _dealt(blobs, buckets).mapInArrow(meet, "cls long, anchor long")
 
 
 def all_anchors(texts: DataFrame) -> DataFrame:
@@ -292,8 +307,8 @@ def _intervals(distinct: Segments) -> list[np.ndarray]:
 SENT = "bucket long, anchor binary, code binary, doc binary, times binary, size binary, starts binary, body binary"
 
 
-def covered_spans(located: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, start, end), unmerged, from (doc_id, text, shared), `shared` being a text's shared anchor hashes."""
+def covered_spans(located: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """(doc_id, start, end), unmerged, from (doc_id, text, shared), `shared` being a text's shared anchor hashes; `hot` anchors are split."""
 
     def cut(batches):
         # Segments go packed to their bucket; the spans that local copies settle at once go along in the same columns, without bytes.
@@ -311,10 +326,18 @@ def covered_spans(located: DataFrame, buckets: int) -> DataFrame:
                 if not hit.any():
                     continue
                 doc, p, h = doc[hit], places[hit], hashes[hit]
-                a, b = np.maximum(bounds[doc], p - (SPAN - K)), np.minimum(bounds[doc + 1], p + SPAN)
                 up, down = powers.upto(len(data) + 1)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-                code = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+                hashed = lambda a, b: mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))  # noqa: B023, E731 - used in this round
+                split, begin, end = np.isin(h, hot), bounds[doc], bounds[doc + 1]
+                cold = np.flatnonzero(~split)
+                parts = [(cold, p[cold] - (SPAN - K), p[cold] + SPAN, h[cold])]
+                for lo, hi in RANGES if split.any() else ():
+                    ok = np.flatnonzero(split & (p - lo >= begin) & (p + SPAN - hi <= end))
+                    parts.append((ok, p[ok] - hi, p[ok] + SPAN - lo, mix(h[ok] ^ hashed(p[ok] - lo, p[ok] + SPAN - hi)) >> np.uint64(16)))
+                at, a, b, h = (np.concatenate([x[i] for x in parts]) for i in range(4))
+                doc, a, b = doc[at], np.maximum(begin[at], a), np.minimum(end[at], b)
+                code = hashed(a, b)
                 size = b - a
                 gather = np.arange(int(size.sum()), dtype=np.int64) + np.repeat(a - (np.cumsum(size) - size), size)
                 held.append(Segments([h.astype(np.int64), code.view(np.int64), ids[first + doc], np.ones(len(h), np.int64), size], a - bounds[doc], data[gather]))
@@ -368,7 +391,7 @@ def covered_spans(located: DataFrame, buckets: int) -> DataFrame:
     def _rows(spans):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in spans], names=["doc_id", "start", "end"])
 
-    return located.mapInArrow(cut, SENT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(build, "doc_id long, start long, end long")
+    return _dealt(located.mapInArrow(cut, SENT), buckets).mapInArrow(build, "doc_id long, start long, end long")
 
 
 def _united(spans) -> list[tuple[int, int]]:
@@ -381,7 +404,7 @@ def _united(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_bytes: bool = True, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `keep_bytes`, the remaining bytes as `kept`, for every row.
 
     A null text is empty. Rows with equal doc_id never remove anything from
@@ -401,7 +424,8 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     shared = staged(anchored, "anchors")
     lists = shared.groupBy("cls").agg(F.collect_set("anchor").alias("shared")).join(first.select("cls", "doc_id").distinct(), "cls")
     located = texts.join(lists, ["doc_id", "cls"]).select("doc_id", "text", "shared")
-    spans = staged(covered_spans(located, buckets), "spans")
+    hot = shared.groupBy("anchor").count().where(F.col("count") > hot_classes).orderBy(F.desc("count"), "anchor").limit(MOST_HOT).collect()
+    spans = staged(covered_spans(located, buckets, np.array([r["anchor"] for r in hot], np.uint64)), "spans")
     touched = staged(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "touched")
     held = base.join(first.withColumnRenamed("doc_id", "first"), ["cls", "sha"], "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= SPAN)

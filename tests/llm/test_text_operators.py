@@ -264,17 +264,20 @@ def brute_repeats(rows):
     return out
 
 
-def test_repeated_substrings(spark, docs, texts):
+@pytest.mark.parametrize("hot", [substrings.HOT_CLASSES, 2])
+def test_repeated_substrings(spark, docs, texts, hot):
     rng = random.Random(9)
     passage = " ".join(rng.choice(["alpha", "beta", "gamma", "é"]) for _ in range(60))
     rows = [(i, t) for i, t in texts[:40]] + [(500 + k, f"{rng.random()} {passage[k % 5 :]} {rng.random()}") for k in range(30)]
     rows += [(700, "ab" * 200), (701, "ab" * 40), (702, None), (703, "x" * 49), (704, "x" * 50), (705, "x" * 51), (706, rows[0][1])]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(docs(rows)).collect()}
+    common = "a string of bytes that all of the texts hold, never with the same neighbours "[:44]
+    rows += [(800 + k, f"{rng.random()}{k % 4}{common}{k % 3}{rng.random()}") for k in range(40)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(docs(rows), hot_classes=hot).collect()}
     assert got == brute_repeats(rows)
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_repeats_within_a_later_document(spark, docs, parts):
+@pytest.mark.parametrize("parts,hot", [(1, 1 << 30), (3, 1 << 30), (3, 1)])
+def test_repeats_within_a_later_document(spark, docs, parts, hot):
     rng = random.Random(11)
     junk = lambda: "".join(rng.choice("abcdefghij ") for _ in range(40))
     passage, whole = ("".join(rng.choice("klmnopqrst ") for _ in range(n)) for n in (200, 90))
@@ -285,7 +288,7 @@ def test_repeats_within_a_later_document(spark, docs, parts):
     df = docs(rows[:1])
     for row in rows[1:]:
         df = df.union(docs([row]))  # a partition each
-    for r in substrings.remove_repeats(df.coalesce(parts)).collect():
+    for r in substrings.remove_repeats(df.coalesce(parts), hot_classes=hot).collect():
         got[r["doc_id"]] = (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
     assert got == brute_repeats(rows)
 
