@@ -120,12 +120,14 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     """doc_id, the measures, base_failed and kept for every row of `docs`.
 
     A null text has no words (and so fails the base rules); a null language is a
-    stratum of its own; null labels are skipped; repeated rows are judged alike;
-    without labels only the base rules reject.
+    stratum of its own; null labels are skipped, and a document labelled both
+    ways is a bad one; repeated rows are judged alike; without labels only the
+    base rules reject. The bounds take labelled documents as independent draws:
+    copies among them make the statement weaker than its figures.
     """
     measured = staged(measures(docs, [F.coalesce(F.col("lang"), F.lit("")).alias("stratum")]), "measures")
     judged = measured.select("*", base_failed().alias("base_failed")).withColumns(signals())
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good")).where("doc_id is not null and good is not null").distinct()
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good")).where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
     found = staged(cutoffs(judged.where("not base_failed").join(marks, "doc_id"), alpha, delta), "cutoffs")
     wide = found.groupBy("stratum").agg(*[F.max(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"_{s}") for s in SIGNALS])
     wide = F.broadcast(wide) if found.count() <= BROADCAST_ROWS else wide
@@ -159,7 +161,7 @@ j as (
          coalesce(least(n_symbols * 10000 // nullif(word_chars, 0), 10000), 0) as symbol_share, coalesce(n_dup_lines * 10000 // nullif(n_lines, 0), 0) as dup_line_share,
          coalesce(n_repeat_words * 10000 // nullif(n_words, 0), 0) as repeat_share, coalesce(least(word_chars * 100 // nullif(n_words, 0), 10000), 0) as word_length
   from m),
-l as (select distinct doc_id, quality = 1 as good from labels where quality is not null),
+l as (select doc_id, bool_and(quality = 1) as good from labels where doc_id is not null and quality is not null group by 1),
 h as (
   select stratum, signal, value, count(*) filter (where good) as good, count(*) filter (where not good) as bad
   from (select stratum, good, unnest([{'s': 'symbol_share', 'v': symbol_share}, {'s': 'dup_line_share', 'v': dup_line_share}, {'s': 'repeat_share', 'v': repeat_share}, {'s': 'word_length', 'v': word_length}]) as x

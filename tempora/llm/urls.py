@@ -83,7 +83,8 @@ def in_list(pages: DataFrame, listed: DataFrame) -> DataFrame:
     if blocks * 8 * (WORDS + 1) <= BROADCAST_BYTES:
         bloom = F.broadcast(bloom)
     bits = {f"_b{i}": _bit(F.col("canonical_url"), i) for i in range(WORDS)}
-    probed = pages.withColumns({"_block": _block(F.col("canonical_url"), blocks)} | bits).join(bloom.withColumnRenamed("block", "_block"), "_block", "left")
+    spread = F.coalesce("canonical_url", F.monotonically_increasing_id().cast("string"))  # rows without a URL share no block
+    probed = pages.withColumns({"_block": _block(spread, blocks)} | bits).join(bloom.withColumnRenamed("block", "_block"), "_block", "left")
     hit = reduce(Column.__and__, [F.expr(f"shiftright(w{i}, _b{i}) & 1L = 1L") for i in range(WORDS)])
     probed = probed.select(*pages.columns, F.coalesce(hit & F.col("canonical_url").isNotNull(), F.lit(False)).alias("_maybe"))
     exact = entries.select(F.col("url").alias("canonical_url"), F.lit(True).alias("_in"))

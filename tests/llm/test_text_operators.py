@@ -483,6 +483,18 @@ def test_url_verdicts(spark):
     assert {r["verdict"] for r in urls.judge(pages.where("url like '%net%'"), listed.limit(0)).collect()} == {"allow"}
 
 
+def test_url_filter_of_nothing(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert urls.judge(none, none).count() == 0
+
+
+def test_quality_labels_both_ways_count_once_as_bad(spark, docs):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)) + (" #$%" * 10 if i >= 3000 else "")) for i in range(3100)]
+    marks = [(i, int(i < 3000), 0) for i in range(3100)] + [(i, 1, 0) for i in range(3000, 3100)] + [(0, None, 0)]
+    out = {r["doc_id"]: r["kept"] for r in quality.judge(docs(rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()}
+    assert all(out[i] for i in range(3000)) and not any(out[i] for i in range(3000, 3100))
+
+
 def test_bloom_filter_has_no_false_negatives(spark, monkeypatch):
     monkeypatch.setattr(urls, "BITS_PER_URL", 1)  # many false hits, which the join must remove
     monkeypatch.setattr(urls, "BROADCAST_BYTES", 0)
