@@ -10,50 +10,56 @@ from __future__ import annotations
 
 import numpy as np
 
-from .shingles import mix
-
-
-def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """Mixed 64-bit hash of each k bytes, by doubling; as long as `data`, its last k - 1 entries without meaning."""
-    h, size = data.astype(np.uint64) + np.uint64(1), 1
-    out, have = None, 0
-    while True:
-        if k & size:  # append this power of two to what is hashed so far
-            if out is None:
-                out, have = h.copy(), size
-            else:
-                out = mix(out) * np.uint64(0x9E3779B97F4A7C15)
-                out[: len(h) - have] += h[have:]
-                have += size
-        if size * 2 > k:
-            break
-        h = mix(h)
-        longer = h * np.uint64(0xD1B54A32D192ED03)
-        longer[: len(h) - size] += h[size:]
-        h, size = longer, size * 2
-    return mix(out)
-
-
-def anchors(data: np.ndarray, bounds: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all anchors in `data` (in order) and their hashes; text i is data[bounds[i]:bounds[i + 1]]."""
+from .shingles import Powers, mix
+
+#: Places looked at together; a hash keeps 48 bits beside the 16 of a place.
+BLOCK = 1 << 15
+_PLACE = np.uint64(0xFFFF)
+_powers = Powers()
+
+
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the bytes times powers of a base, from the front, and the inverse powers: (sums[b] - sums[a]) * down[a] names data[a:b]."""
+    up, down = _powers.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64, out=sums[1:])
+    return sums, down
+
+
+def anchors(data: np.ndarray, bounds: np.ndarray, k: int, span: int, sums: np.ndarray | None = None, down: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all anchors in `data` (in order) and their hashes of 48 bits; text i is data[bounds[i]:bounds[i + 1]]."""
     width = span - k + 1  # k-byte substrings in a string of `span` bytes
     if len(data) < span:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = kmer_hashes(data, k)
-    n = len(data) - k + 1
-    place = np.arange(n, dtype=np.int64)
-    best, at, size = h[:n].copy(), place.copy(), 1
-    while size < width:  # least of `size` entries from each place on, by doubling
-        step = min(size, width - size)
-        right, right_at = best[step:], at[step:]
-        lower = right < best[: len(right)]
-        best, at = np.where(lower, right, best[: len(right)]), np.where(lower, right_at, at[: len(right)])
-        size += step
-    start = np.arange(len(at), dtype=np.int64)
+    if sums is None:
+        sums, down = prefix_sums(data)
+    strings = len(data) - span + 1
     inside = np.zeros(len(data) + 1, np.int32)  # strings of `span` bytes that lie within one text
     lengths = np.diff(bounds)
     good = lengths >= span
     np.add.at(inside, bounds[:-1][good], 1)
     np.add.at(inside, bounds[1:][good] - span + 1, -1)
-    found = np.unique(at[np.cumsum(inside)[start] > 0])
-    return found, h[found]
+    inside = np.cumsum(inside[:strings], dtype=np.int32) > 0
+    places, hashes = [], []
+    for a in range(0, strings, BLOCK):
+        b = min(strings, a + BLOCK)
+        if not inside[a:b].any():
+            continue
+        n = b - a + width - 1
+        least = mix((sums[a + k : a + k + n] - sums[a : a + n]) * down[a : a + n])
+        least &= ~_PLACE
+        least |= np.arange(n, dtype=np.uint64)
+        size = 1
+        while size < width:  # least of `size` entries from each place on, by doubling; its place comes along in the low bits
+            step = min(size, width - size)
+            least = np.minimum(least[:-step], least[step:])
+            size += step
+        least = least[inside[a:b]]
+        least = least[np.concatenate([[True], least[1:] != least[:-1]])]  # an anchor leads strings one after the other
+        places.append((least & _PLACE).astype(np.int64) + a)
+        hashes.append(least >> np.uint64(16))
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    place, found = np.concatenate(places), np.concatenate(hashes)
+    new = np.concatenate([[True], place[1:] != place[:-1]])
+    return place[new], found[new]

@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import anchors
+from .anchors import anchors, prefix_sums
 from .common import staged, table
-from .shingles import Powers, mix
+from .shingles import mix
 
 SPAN, K = 50, 20
 GROUP_BYTES = 1 << 20
@@ -80,13 +80,13 @@ def _runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _anchors_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, bounds, first text, anchor places, anchor hashes of 48 bits) for runs of texts."""
+def _anchors_of(column: pa.Array) -> Iterator[tuple]:
+    """(bytes, bounds, first text, anchor places, anchor hashes of 48 bits, prefix sums, inverse powers) for runs of texts."""
     body, offsets = _bytes_of(column)
     for a, b in _runs(offsets, GROUP_BYTES):
         data, bounds = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        places, hashes = anchors(data, bounds, K, SPAN)
-        yield data, bounds, a, places, hashes >> np.uint64(16)
+        sums, down = prefix_sums(data)
+        yield data, bounds, a, *anchors(data, bounds, K, SPAN, sums, down), sums, down
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -112,7 +112,7 @@ def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             cls = batch.column("cls").to_numpy().astype(np.uint64)
-            for data, bounds, first, places, hashes in _anchors_of(batch.column("text")):
+            for data, bounds, first, places, hashes, _, _ in _anchors_of(batch.column("text")):
                 held.append((hashes, cls[np.searchsorted(bounds, places, "right") - 1 + first]))
                 size += len(data)
                 if size >= SEND_BYTES:
@@ -168,7 +168,7 @@ def all_anchors(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             cls = batch.column("cls").to_numpy()
-            for _, bounds, first, places, hashes in _anchors_of(batch.column("text")):
+            for _, bounds, first, places, hashes, _, _ in _anchors_of(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(cls[np.searchsorted(bounds, places, "right") - 1 + first]), pa.array(hashes.astype(np.int64))], names=["cls", "anchor"])
 
     return texts.select("cls", "text").mapInArrow(run, "cls long, anchor long")
@@ -312,11 +312,11 @@ def covered_spans(located: DataFrame, buckets: int, hot: np.ndarray) -> DataFram
 
     def cut(batches):
         # Segments go packed to their bucket; the spans that local copies settle at once go along in the same columns, without bytes.
-        powers, held, count = Powers(), [], 0
+        held, count = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             shared = batch.column("shared")
-            for data, bounds, first, places, hashes in _anchors_of(batch.column("text")):
+            for data, bounds, first, places, hashes, sums, down in _anchors_of(batch.column("text")):
                 doc = np.searchsorted(bounds, places, "right") - 1
                 lists = shared.slice(first, len(bounds) - 1)
                 wanted = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
@@ -326,8 +326,6 @@ def covered_spans(located: DataFrame, buckets: int, hot: np.ndarray) -> DataFram
                 if not hit.any():
                     continue
                 doc, p, h = doc[hit], places[hit], hashes[hit]
-                up, down = powers.upto(len(data) + 1)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
                 hashed = lambda a, b: mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))  # noqa: B023, E731 - used in this round
                 split, begin, end = np.isin(h, hot), bounds[doc], bounds[doc + 1]
                 cold = np.flatnonzero(~split)
