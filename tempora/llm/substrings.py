@@ -44,13 +44,15 @@ GROUP_BYTES = 1 << 20
 #: A task sends its anchors after about this many bytes of text.
 SEND_BYTES = 16 << 20
 #: A bucket gets the anchors of about this many bytes of text.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: An anchor that more classes hold is split by the bytes beside it; at most so many anchors (8 bytes each) are, those of most classes.
 HOT_CLASSES, MOST_HOT = 20_000, 1 << 18
 #: Places of an anchor in a string of SPAN bytes, in ranges that a split anchor is dealt by.
 RANGES = ((0, 7), (8, 15), (16, 23), (24, SPAN - K))
 #: Buckets that one task works through.
-TASK_BUCKETS = 4
+TASK_BUCKETS = 8
+#: Segments that a task holds before it sends them.
+CUT_SEGMENTS = 75_000
 #: Segments in one construction (one anchor's segments stay together).
 COLLECTION = 4096
 #: Bits in the name of a class (at most 48); classes may share a name.
@@ -340,7 +342,7 @@ def covered_spans(located: DataFrame, buckets: int, hot: np.ndarray) -> DataFram
                 gather = np.arange(int(size.sum()), dtype=np.int64) + np.repeat(a - (np.cumsum(size) - size), size)
                 held.append(Segments([h.astype(np.int64), code.view(np.int64), ids[first + doc], np.ones(len(h), np.int64), size], a - bounds[doc], data[gather]))
                 count += len(h)
-                if count >= 150_000:
+                if count >= CUT_SEGMENTS:
                     yield _sent(held)
                     held, count = [], 0
         if held:
