@@ -190,6 +190,18 @@ class Codec:
         return self.tok.decode(list(ids), skip_special_tokens=False)
 
 
+_kept: dict[tuple, Codec] = {}
+
+
+def kept_codec(path: str, leaf_chars: int, use: str) -> Codec:
+    """The worker's codec, kept with its unit cache for the worker's next task of the same use; one at a time, which bounds its memory."""
+    key = (path, leaf_chars, use)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Codec(path, leaf_chars)
+    return _kept[key]
+
+
 def _meeting(mid: list, side: list, where: Callable) -> tuple[int, int] | None:
     """The first places (in `mid`, in `side`) of a token that both hold there with the token after it; the window's own ends do not count."""
     at = {}
@@ -223,7 +235,7 @@ def encode(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF_CHAR
     path = path or default_tokenizer_path()
 
     def run(batches):
-        codec = Codec(path, leaf_chars)
+        codec = kept_codec(path, leaf_chars, "ids")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for at, group in grouped(texts):
@@ -256,7 +268,7 @@ def roundtrip_digest(docs: DataFrame, path: str | None = None, leaf_chars: int =
     path = path or default_tokenizer_path()
 
     def run(batches):
-        codec = Codec(path, leaf_chars)
+        codec = kept_codec(path, leaf_chars, "digest")
         plain, token, sha = codec.tok.decoder is None, codec.tok.id_to_token, hashlib.sha256
         codec.form = lambda ids: (len(ids), " ".join(map(str, ids)), " ".join(map(token, ids)) if plain else tuple(ids))
         for batch in batches:
