@@ -23,6 +23,7 @@ import json
 import os
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -97,9 +98,7 @@ class Codec:
         return out
 
     def _learn(self, new: set[str]) -> dict[str, object]:
-        """Values of units that the young cache lacks. A unit of letters and closing signs is put together from both."""
-        if len(self.young) > self.cache_units:
-            self.old, self.young = self.young, {}
+        """Values of units that the young cache lacks, the old one's among them. A unit of letters and closing signs is put together from both."""
         found, parts, whole = {}, {}, []
         for u in new:
             if (v := self.old.get(u)) is not None:
@@ -110,7 +109,7 @@ class Codec:
                 whole.append(u)
             else:
                 stem = u.rstrip(".,;:!?")
-                if stem.isalpha() and max(stem) < "\u0250" and stem == stem.lower():
+                if stem.isalpha() and (stem.islower() if stem.isascii() else max(stem) < "\u0250" and stem == stem.lower()):
                     parts[u] = stem
                 else:
                     whole.append(u)
@@ -120,17 +119,17 @@ class Codec:
         sign_ids = dict(zip(signs, self._encode(signs), strict=True))
         found.update((u, self.form([*words[s], *sign_ids.get(tails[u], ())])) for u, s in parts.items())
         found.update((u, self.form(ids)) for u, ids in zip(whole, self._encode(whole), strict=True))
-        self.young.update((u, v) for u, v in found.items() if len(u) <= CACHED_UNIT_CHARS)
         return found
 
     def _values(self, lists: list[list[str]]) -> list[list]:
-        get = self.young.get
-        got = [list(map(get, units)) for units in lists]
-        short = [i for i, g in enumerate(got) if None in g]
-        if short:
-            found = self._learn({u for i in short for u, v in zip(lists[i], got[i], strict=True) if v is None})
-            for i in short:
-                got[i] = [found[u] if v is None else v for u, v in zip(lists[i], got[i], strict=True)]
+        if len(self.young) > self.cache_units:
+            self.old, self.young = self.young, {}
+        new = set(chain.from_iterable(lists)).difference(self.young)
+        if new:
+            self.young.update(self._learn(new))
+        got = [list(map(self.young.__getitem__, units)) for units in lists]
+        for u in [u for u in new if len(u) > CACHED_UNIT_CHARS]:
+            del self.young[u]
         return got
 
     def leaves(self, text: str) -> list[tuple[int, int]]:

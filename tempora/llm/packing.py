@@ -10,6 +10,9 @@ partitions, so the padding is less than one window for each group.
 
 from __future__ import annotations
 
+import struct
+import sys
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +46,10 @@ class Windows:
 
     def add(self, doc_id, start, total, ids) -> None:
         size = self.size
-        while len(ids) // 4 >= size:
-            self._emit([(doc_id, start, total, ids[: 4 * size])])
-            start, ids = start + size, ids[4 * size :]
+        whole = len(ids) // 4 // size * size
+        for at in range(0, whole, size):
+            self._emit([(doc_id, start + at, total, ids[4 * at : 4 * (at + size)])])
+        start, ids = start + whole, ids[4 * whole :]
         while n := len(ids) // 4:
             best = None
             for w in self.open:
@@ -82,6 +86,11 @@ class Windows:
         return held, pieces
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian uint32."""
+    return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _rows(done, tail_group, is_open) -> pa.RecordBatch:
     cols = list(zip(*((p[0], p[1], len(p[3]) // 4, p[2], seq, at, is_open, tail_group, p[3]) for p, seq, at in done), strict=True)) or [[]] * 9
     kinds = [pa.int64()] * 6 + [pa.bool_(), pa.int64(), pa.binary()]
@@ -99,13 +108,11 @@ def pack_partitions(docs: DataFrame, path: str | None = None, window: int = WIND
     path = path or default_tokenizer_path()
 
     def run(batches):
-        import struct
-
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         codec = kept_codec(path, leaf_chars, "packed")
-        codec.form = lambda unit: struct.pack(f"<{len(unit)}I", *unit)
+        codec.form = _packed
         end = struct.pack("<I", end_id)
         windows = Windows(window, open_windows, part << 32)
 
