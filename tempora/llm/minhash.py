@@ -350,3 +350,18 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+i as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as shingle from i),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 75 * (a.n + b.n - shared)),
+u as (select x, y from e union all select y, x from e),
+r as (select doc_id as x, doc_id as y from documents union select r.x, u.y from r join u on u.x = r.y),
+c as (select x as doc_id, min(y) as component_id from r group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)
+"""

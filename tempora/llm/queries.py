@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe_roundtrip
 from .lines import OP3_SQL, op3_line_dedup
-from .minhash import op10_near_duplicates
+from .minhash import OP10_SQL, op10_near_duplicates
 from .packing import op1_pack
 from .quality import OP2_SQL, op2_quality
 from .secrets import op8_secrets
-from .substrings import op6_repeats
+from .substrings import OP6_SQL, op6_repeats
 from .toxicity import op5_toxicity
 from .urls import OP9_SQL, op9_url_filter
 from .vptree import OP4_SQL, op4_nearest
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_nearest": OP4_SQL, "op9_url_filter": OP9_SQL}
+    return {"op2_quality": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_nearest": OP4_SQL, "op6_repeats": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_near_duplicates": OP10_SQL}

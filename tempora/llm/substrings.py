@@ -464,3 +464,16 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True, hot_classes: int =
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
+OP6_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n_bytes from documents),
+w as (select doc_id, p, substr(h, 2 * p + 1, 100) as s from (select doc_id, h, unnest(range(0, n_bytes - 49)) as p from d where n_bytes >= 50)),
+f as (select s, min(doc_id) as first from w group by s having count(*) > 1),
+l as (select doc_id, p, lag(p) over (partition by doc_id order by p) as before from w join f using (s) where doc_id > first),
+g as (select doc_id, p, sum(case when before is null or p > before + 50 then 1 else 0 end) over (partition by doc_id order by p) as span from l),
+r as (select doc_id, span, min(p) as a, max(p) + 50 as b from g group by 1, 2),
+k as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as last from r),
+t as (select k.doc_id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept from k join d using (doc_id) group by 1)
+select d.doc_id, n_bytes::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join t using (doc_id)
+"""
