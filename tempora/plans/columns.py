@@ -260,7 +260,9 @@ def html_links(spark, d):
     return t(spark, d, "pages").select("page_id", F.sort_array(strings.links(F.col("html"))).alias("links"))
 
 
-@query("pack_lines")
+@query("pack_lines", """with recursive l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) as n, string_split(text, chr(10)) as lines from documents where text is not null),
+p as (select doc_id, 1 as i, n[1] as size, 1 as chunk from l union all select p.doc_id, p.i + 1, case when p.size + 1 + l.n[p.i + 1] <= 400 then p.size + 1 + l.n[p.i + 1] else l.n[p.i + 1] end, case when p.size + 1 + l.n[p.i + 1] <= 400 then p.chunk else p.chunk + 1 end from p join l using (doc_id) where p.i < len(l.n))
+select doc_id, string_agg(l.lines[p.i], chr(10) order by p.i) as chunk from p join l using (doc_id) group by doc_id, p.chunk""")
 def pack_lines(spark, d):
     return t(spark, d, "documents").select("doc_id", F.explode(strings.pack_lines(F.col("text"), 400)).alias("chunk"))
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -31,12 +33,12 @@ def r6(c, places: int = 6):
 
 
 def region_cells(spark: SparkSession, d: str) -> DataFrame:
-    """(year, cell, region, v): quantities by ship year, part and the customer's region."""
+    """(year, cell, region, v): quantities by ship year, part and the customer's region; written once, since raking reads its cells several times."""
     line = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", F.year("l_shipdate").alias("year"))
     orders = t(spark, d, "orders").select("o_orderkey", "o_custkey")
     where = t(spark, d, "customer").select("c_custkey", "c_nationkey").join(t(spark, d, "nation").select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("region"))
     joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(where, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy("year", F.col("l_partkey").alias("cell"), "region").agg(F.sum("l_quantity").alias("v"))
+    return written(joined.groupBy("year", F.col("l_partkey").alias("cell"), "region").agg(F.sum("l_quantity").alias("v")))
 
 
 REGION_CELLS = """cells as (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import raster, vector
+from ..scratch import written
 from .core import GRID, REGION_CELLS, grid_cells, query, r6, region_cells, t
 
 RAKED = f"""with {REGION_CELLS},
@@ -28,7 +29,7 @@ def rake_regional(spark, d):
 
 @query("rake_global", RAKED + ", w as (select year, sum(v) as total from raked group by 1) select r.year, cell, region, ceil(r.v * (20000.0 / w.total)) as v from raked r join w using (year)")
 def rake_global(spark, d):
-    cells = rake_regional_frame(spark, d)
+    cells = written(rake_regional_frame(spark, d))
     targets = cells.select("year").distinct().withColumn("target", F.lit(20000.0))
     return raster.rake(cells, ["year"], targets).select("year", "cell", "region", "v")
 

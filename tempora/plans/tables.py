@@ -147,12 +147,17 @@ def gram(spark, d):
     return linalg.gram(line, X).crossJoin(F.broadcast(n)).select("i", "j", r6(F.col("v") / F.col("n"), 4).alias("v"))
 
 
-@query("ridge")
+@query("ridge", """with s as (select sum(l_quantity * l_quantity) as qq, sum(l_quantity * l_discount) as qd, sum(l_quantity * l_tax) as qt, sum(l_discount * l_discount) as dd, sum(l_discount * l_tax) as dt, sum(l_tax * l_tax) as tt, sum(l_quantity * l_extendedprice) as qy, sum(l_discount * l_extendedprice) as dy, sum(l_tax * l_extendedprice) as ty from lineitem),
+g as (select *, qq + 0.001 as a, dd + 0.001 as b, tt + 0.001 as c from s),
+i as (select *, a * (b * c - dt * dt) - qd * (qd * c - dt * qt) + qt * (qd * dt - b * qt) as det, qq * (dd * tt - dt * dt) - qd * (qd * tt - dt * qt) + qt * (qd * dt - dd * qt) as plain from g)
+select unnest(['l_quantity', 'l_discount', 'l_tax']) as feature,
+unnest([round(((b * c - dt * dt) * qy + (qt * dt - qd * c) * dy + (qd * dt - qt * b) * ty) / det, 2), round(((qt * dt - qd * c) * qy + (a * c - qt * qt) * dy + (qd * qt - a * dt) * ty) / det, 2), round(((qd * dt - qt * b) * qy + (qd * qt - a * dt) * dy + (a * b - qd * qd) * ty) / det, 2)]) as weight,
+unnest([round((dd * tt - dt * dt) / plain, 10), round((qq * tt - qt * qt) / plain, 10), round((qq * dd - qd * qd) / plain, 10)]) as inflation from i""")
 def ridge(spark, d):
     line = t(spark, d, "lineitem")
     w = linalg.ridge(line, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
     vif = linalg.variance_inflation(line, ["l_quantity", "l_discount", "l_tax"])
-    return spark.createDataFrame([(k, round(v, 4), round(vif[k], 12)) for k, v in w.items()], "feature string, weight double, inflation double")
+    return spark.createDataFrame([(k, round(v, 2), round(vif[k], 10)) for k, v in w.items()], "feature string, weight double, inflation double")
 
 
 @query("determinants", "select p_partkey as id, [round(p_size * 4.0 - 6, 6)] as result from part")
