@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import LEAF_CHARS, default_tokenizer_path, grouped, kept_codec
+from .bpe import LEAF_CHARS, Codec, default_tokenizer_path, grouped
 from .common import doc_texts, staged, table, uncollected
 
 WINDOW = 2048
@@ -111,8 +111,7 @@ def pack_partitions(docs: DataFrame, path: str | None = None, window: int = WIND
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        codec = kept_codec(path, leaf_chars, "packed")
-        codec.form = _packed
+        codec = Codec(path, leaf_chars, form=_packed)
         end = struct.pack("<I", end_id)
         windows = Windows(window, open_windows, part << 32)
 
