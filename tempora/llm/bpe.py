@@ -58,11 +58,11 @@ class Codec:
         self.leaf_chars, self.first_window, self.cache_units, self.form = max(2, leaf_chars), max(1, first_window), cache_units, form
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
-        spec = json.loads(self.tok.to_str())
+        spec = json.loads(self.tok.to_str().partition(',"model":')[0] + "}")  # all but the vocabulary and its merges
         #: No window starts inside an added token that crosses the join.
         self.longest_added = max((len(t["content"]) for t in spec["added_tokens"]), default=0) + 4
         self.window_chars = 0  # characters that trees have encoded, leaves and windows
-        self.suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.suffix = getattr(self.tok.model, "end_of_word_suffix", None) or ""
         #: Ids that end a word, where the file marks word ends and splits letters from other signs; else None.
         self.ends = {i for t, i in self.tok.get_vocab().items() if t.endswith(self.suffix)} if self.suffix and "\\p{L}" in json.dumps(spec["pre_tokenizer"]) and "ByteLevel" in json.dumps(spec["pre_tokenizer"]) else None
         self.lowers = "Lowercase" in json.dumps(spec["normalizer"])
