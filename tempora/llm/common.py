@@ -17,6 +17,9 @@ from pyspark.sql.types import StructField, StructType
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 
+#: Most words of 64 bits in the filter of `maybe_among`, about 80 bytes each in a broadcast.
+FILTER_WORDS = 1 << 17
+
 _own_scratch: list[str] = []
 
 
@@ -70,9 +73,28 @@ def salted_join(rows: DataFrame, few: DataFrame, key: str | list[str], by: str,
     """`rows` joined with `few` (at most one row a key), where one key may hold a large part of `rows`.
 
     Each key is split by a hash of `by` into `salts` parts, and `few` is repeated for each.
+    The repeated rows are merged, never broadcast: Spark's estimate of their size
+    does not count the repeats, so `salts` times its limit would go through the driver.
     """
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
-    return dealt.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
+    repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(repeated.hint("merge"), [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
+
+
+def maybe_among(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of `texts` whose doc_id is one of the `n` of `ids`, and few others.
+
+    What is broadcast are at most `FILTER_WORDS` words of a Bloom filter (an id
+    sets four bits of one word), whatever `n`; more ids let more other rows pass.
+    """
+    words = min(FILTER_WORDS, n // 4 + 1)
+    mask = " | ".join(f"shiftleft(1L, cast(shiftright(_hash, {6 * i}) & 63 as int))" for i in range(4))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("_word", F.pmod(F.xxhash64("doc_id"), F.lit(words))).withColumn("_hash", F.xxhash64(F.lit(1), "doc_id")).withColumn("_mask", F.expr(mask))
+
+    bits = marked(ids.select("doc_id").where("doc_id is not null")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    return marked(texts).join(F.broadcast(bits), "_word").where("_bits & _mask = _mask").select(texts.columns)
 
 
 def uncollected(run: Callable) -> Callable:

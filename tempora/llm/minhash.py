@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_texts, salted_join, staged, table
+from .common import doc_texts, maybe_among, salted_join, staged, table
 from .shingles import mix, shingle_sets
 
 BUCKET_BITS, MANTISSA_BITS, ROWS = 7, 26, 4
@@ -46,8 +46,8 @@ HOT_GROUPS = 2
 SIGMAS = 5.0
 #: Similarity limit as a fraction: link when PART * union <= WHOLE * intersection.
 PART, WHOLE = 75, 100
-#: This many (class, doc_id) pairs, of 16 bytes, may be broadcast.
-BROADCAST_ROWS = 1 << 20
+#: This many (class, doc_id) pairs, about 100 bytes each in a broadcast, may be sent whole; beyond it a filter of bounded size goes ahead of a shuffle.
+BROADCAST_ROWS = 1 << 16
 
 
 def registers(codes: np.ndarray) -> np.ndarray:
@@ -216,9 +216,10 @@ def forest(members: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, codes) of the wanted (cls, doc_id) rows, hashed anew from the texts; without a doc_id, texts are found by their class."""
-    few = wanted.count() <= BROADCAST_ROWS
+    n = wanted.count()
+    few = n <= BROADCAST_ROWS
     texts = doc_texts(docs)
-    chosen = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("cls", "text")
+    chosen = (texts.join(F.broadcast(wanted), "doc_id") if few else maybe_among(texts, wanted, n).join(wanted.hint("merge"), "doc_id")).select("cls", "text")
 
     def run(batches):
         for batch in batches:

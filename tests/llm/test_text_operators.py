@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tempora.llm import bpe, lines, minhash, packing, quality, secrets, substrings, toxicity, urls, vptree
+from tempora.llm import bpe, common, lines, minhash, packing, quality, secrets, substrings, toxicity, urls, vptree
 
 
 @pytest.fixture(scope="module")
@@ -240,6 +240,27 @@ def test_near_duplicates_in_a_hot_group_of_unlinked_clusters(spark, docs):
     assert got == brute_links(rows)
 
 
+def test_repeated_rows_are_never_broadcast(spark, capsys):
+    few = spark.range(1000).withColumnRenamed("id", "key")  # 8 kB by Spark's estimate, 16 times as much when repeated
+    rows = spark.range(5000).select((F.col("id") % 2000).alias("key"), F.col("id").alias("by"))
+    joined = common.salted_join(rows, few, "key", "by")
+    assert joined.count() == 3000 and joined.select("by").distinct().count() == 3000
+    joined.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_many_wanted_texts_go_by_a_bounded_filter(spark, docs, texts, monkeypatch):
+    everything = docs([*texts, (None, "a row without an id, but with some more words")])
+    want = {tuple(r) for r in minhash.near_duplicates(everything).collect()}
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "FILTER_WORDS", 16)
+    assert {tuple(r) for r in minhash.near_duplicates(everything).collect()} == want
+    ids = spark.range(0, 100_000, 10).withColumnRenamed("id", "doc_id")
+    monkeypatch.setattr(common, "FILTER_WORDS", 1 << 10)
+    kept = common.maybe_among(spark.range(100_000).withColumnRenamed("id", "doc_id"), ids, 10_000)
+    assert kept.join(ids, "doc_id", "left_semi").count() == 10_000 and kept.count() < 50_000
+
+
 def test_near_copies_without_ids(spark, docs):
     a, b = ([f"{c}{i}" for i in range(100)] for c in "ab")
     near = lambda words, k: " ".join([*words[:-1], f"end{k}"])
