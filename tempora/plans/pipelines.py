@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,105 @@ def blended_weights(a: DataFrame, b: DataFrame, world: DataFrame, layers: int) -
     return spread.select("idx", "year", F.ceil(r6(F.col("v") * F.col("target"))).cast("double").alias("v"))
 
 
+#: Rows that are folded at a time, and most cells (cities times years) of a table of theirs.
+FOLD_ROWS, FOLD_CELLS = 1 << 18, 1 << 22
+
+
+def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One city's rows, whatever their years; `_fold_many` does the same for many cities."""
+    mine = pdf[pdf["match"].isna()].set_index("year")["v"].astype(float).sort_index()
+    for _, rows in pdf[pdf["match"].notna()].sort_values("match").groupby("match"):
+        theirs = rows.set_index("year")["v"].astype(float).sort_index()
+        shared = mine.index.intersection(theirs.index)
+        higher = shared[theirs[shared].to_numpy() > mine[shared].to_numpy()]
+        mine[higher] = (mine[higher] + theirs[higher]) / 2
+        if len(shared) > 1:
+            ratio = np.where(mine[shared] == 0, np.where(theirs[shared] == 0, 0.0, 1.0), theirs[shared] / mine[shared].replace(0, 1.0))
+            inside = mine.index[(mine.index >= shared[0]) & (mine.index <= shared[-1])]
+            mine[inside] = mine[inside].to_numpy() * np.interp(inside.to_numpy(float), shared.to_numpy(float), ratio)
+    return pd.DataFrame({"id": int(pdf["id"].iloc[0]), "year": mine.index.astype("int32"), "v": np.round(mine.to_numpy())})
+
+
+def _fold_many(city: np.ndarray, nth: np.ndarray, at: np.ndarray, v: np.ndarray, years: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(city, at, v) of folded series: the n-th matches of all cities at once. Rows are sorted by city and nth (0: the city's own); `at` is the place in `years`."""
+    n, k, column = int(city[-1]) + 1, len(years), np.arange(len(years))
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, city, nth)
+    order = np.argsort(-most, kind="stable")  # those with an n-th match come first
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    by = np.argsort(nth, kind="stable")
+    cuts = np.searchsorted(nth[by], np.arange(int(nth.max()) + 2))
+    mine, has = np.zeros((n, k)), np.zeros((n, k), bool)
+    for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        rows = by[a:b]
+        if not j:
+            mine[place[city[rows]], at[rows]], has[place[city[rows]], at[rows]] = v[rows], True
+            continue
+        size = int((most >= j).sum())
+        m, own, theirs, shared = mine[:size], has[:size], np.zeros((size, k)), np.zeros((size, k), bool)
+        theirs[place[city[rows]], at[rows]], shared[place[city[rows]], at[rows]] = v[rows], True
+        shared &= own
+        m[:] = np.where(shared & (theirs > m), (m + theirs) / 2, m)
+        ratio = np.where(m == 0, np.where(theirs == 0, 0.0, 1.0), theirs / np.where(m == 0, 1.0, m))
+        lo = np.maximum.accumulate(np.where(shared, column, -1), axis=1)
+        hi = np.minimum.accumulate(np.where(shared, column, k)[:, ::-1], axis=1)[:, ::-1]
+        inside = own & (lo >= 0) & (hi < k) & (shared.sum(axis=1) > 1)[:, None]
+        r, c = np.nonzero(inside)
+        p, q = lo[r, c], hi[r, c]
+        low, high, step = ratio[r, p], ratio[r, q], (years[q] - years[p]).astype(float)
+        m[r, c] *= np.where(p == q, low, (high - low) / np.where(p == q, 1.0, step) * (years[c] - years[p]) + low)
+    mine, has = mine[place], has[place]
+    r, c = np.nonzero(has)
+    return r, c, np.round(mine[r, c])
+
+
+def _fold_table(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Folds whole cities, sorted by id, match (own rows first) and year. Cities with repeated years or without some value go one by one."""
+    ids, year = rows["id"].to_numpy(), rows["year"].fill_null(0).to_numpy()
+    own, match, v = rows["match"].is_null().to_numpy(), rows["match"].fill_null(0).to_numpy(), rows["v"].fill_null(np.nan).to_numpy()
+    new_city = np.concatenate([[True], ids[1:] != ids[:-1]])
+    new_series = new_city | np.concatenate([[True], (match[1:] != match[:-1]) | (own[1:] != own[:-1])])
+    city, firsts = np.cumsum(new_city) - 1, np.flatnonzero(new_city)
+    bad = ~np.isfinite(v) | rows["year"].is_null().to_numpy() | np.concatenate([[False], (year[1:] == year[:-1]) & ~new_series[1:]]) | (new_city & ~own)
+    odd = np.zeros(len(firsts), bool)
+    odd[city[bad]] = True
+    for i in np.flatnonzero(odd):
+        end = firsts[i + 1] if i + 1 < len(firsts) else len(ids)
+        yield pa.RecordBatch.from_pandas(_fold(rows.slice(firsts[i], end - firsts[i]).to_pandas()).astype({"id": "int64", "year": "int32", "v": "float64"}), preserve_index=False)
+    nth = np.cumsum(new_series) - 1
+    nth -= nth[firsts][city]
+    fine = np.flatnonzero(~odd[city])
+    if not len(fine):
+        return
+    years, at = np.unique(year[fine], return_inverse=True)
+    group = max(1, FOLD_CELLS // len(years))
+    cuts = np.searchsorted(city[fine], np.arange(0, city[-1] + 1 + group, group))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            part = fine[a:b]
+            names, of = np.unique(city[part], return_inverse=True)
+            r, c, out = _fold_many(of, nth[part], at[a:b], v[part], years)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[firsts[names]][r], pa.int64()), pa.array(years[c], pa.int32()), pa.array(out, pa.float64())], names=["id", "year", "v"])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= FOLD_ROWS:
+            rows = pa.Table.from_batches(held)
+            ids = rows["id"].to_numpy()
+            whole = int(np.searchsorted(ids, ids[-1]))  # the last city may go on
+            if whole:
+                yield from _fold_table(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+            size = len(ids) - whole if whole else 0
+    if held and sum(b.num_rows for b in held):
+        yield from _fold_table(pa.Table.from_batches(held))
+
+
 def union_cities(main: DataFrame, other: DataFrame, km: float = 5.0) -> DataFrame:
     """(id, year, v): each city's series folded with those of the other source's cities within `km`, in order of id.
 
@@ -55,20 +155,8 @@ def union_cities(main: DataFrame, other: DataFrame, km: float = 5.0) -> DataFram
     own = main.select("id", F.lit(None).cast("bigint").alias("match"), "year", "v")
     matched = near.join(other.select(F.col("id").alias("match"), "year", "v"), "match").select("id", "match", "year", "v")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf[pdf["match"].isna()].set_index("year")["v"].astype(float).sort_index()
-        for _, rows in pdf[pdf["match"].notna()].sort_values("match").groupby("match"):
-            theirs = rows.set_index("year")["v"].astype(float).sort_index()
-            shared = mine.index.intersection(theirs.index)
-            higher = shared[theirs[shared].to_numpy() > mine[shared].to_numpy()]
-            mine[higher] = (mine[higher] + theirs[higher]) / 2
-            if len(shared) > 1:
-                ratio = np.where(mine[shared] == 0, np.where(theirs[shared] == 0, 0.0, 1.0), theirs[shared] / mine[shared].replace(0, 1.0))
-                inside = mine.index[(mine.index >= shared[0]) & (mine.index <= shared[-1])]
-                mine[inside] = mine[inside].to_numpy() * np.interp(inside.to_numpy(float), shared.to_numpy(float), ratio)
-        return pd.DataFrame({"id": int(pdf["id"].iloc[0]), "year": mine.index.astype("int32"), "v": np.round(mine.to_numpy())})
-
-    return own.unionByName(matched).groupBy("id").applyInPandas(fold, "id long, year int, v double")
+    rows = own.unionByName(matched).select("id", "match", F.col("year").cast("int"), F.col("v").cast("double"))
+    return rows.repartition("id").sortWithinPartitions("id", "match", "year").mapInArrow(_folded, "id long, year int, v double")
 
 
 def sample_colours(polities: DataFrame, grids: DataFrame, colours: DataFrame) -> DataFrame:

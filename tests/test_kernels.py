@@ -223,3 +223,26 @@ def test_boxes_intersect_meets_equal_boxes_once(spark, monkeypatch):
     assert sorted((r[0] or 0, r[1] or 0, r[2]) for r in out.collect()) == want
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "explode(b_ids" in plan  # shapes are listed beside their box, not joined one by one
+
+
+def test_folding_many_cities_equals_folding_each(monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    from tempora.plans import pipelines
+
+    rng, rows = np.random.default_rng(5), []
+    for i in range(60):
+        for match in [None, *sorted(rng.choice(1000, rng.integers(0, 9), replace=False).tolist())]:
+            for year in sorted(rng.choice(30, rng.integers(1, 12), replace=False).tolist()):
+                rows.append((i, match, 1800 + year, float(rng.integers(0, 40))))
+    rows.append((60, None, 1800, 1.0))
+    rows += [(60, 3, 1800, 9.0), (60, 3, 1810, None)]  # a value is missing: folded by itself
+    table = pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("id", pa.int64()), ("match", pa.int64()), ("year", pa.int32()), ("v", pa.float64())))})
+    want = pd.concat([pipelines._fold(g) for _, g in table.to_pandas().groupby("id")])
+    want = sorted(zip(want["id"], want["year"], want["v"], strict=True))
+    for size, cells in ((1 << 18, 1 << 22), (50, 64)):
+        monkeypatch.setattr(pipelines, "FOLD_ROWS", size)
+        monkeypatch.setattr(pipelines, "FOLD_CELLS", cells)
+        got = [r for b in pipelines._folded(iter(table.to_batches(max_chunksize=37))) for r in zip(*b.to_pydict().values(), strict=True)]
+        assert sorted(got) == want
