@@ -14,6 +14,11 @@ comes from one correct encoding, so the result is the encoding of the whole.
 
 Units repeat heavily in any corpus, so leaves are encoded through a bounded
 cache of units; unknown units of a batch go to the tokenizer in one call.
+
+Where only ids are wanted (`encode_bytes`), many texts are cut at once on their
+bytes, and for the tokenizer files whose rules are `SPLITS` and `NORMALIZES`
+further than at white space: wherever two ASCII signs stand on a border that
+the pre-tokenizer always makes. The distinct pieces alone come to Python.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,8 +41,25 @@ FIRST_WINDOW = 32
 CACHE_UNITS = 300_000
 #: Texts are tokenized in groups of about this many characters, to bound a worker's memory.
 GROUP_CHARS = 1 << 20
+#: The same for `encode_bytes`, in bytes.
+GROUP_BYTES = 1 << 22
 #: The units kept in the cache are at most this long; longer ones hardly repeat.
 CACHED_UNIT_CHARS = 48
+#: Latin words that go to the tokenizer as one text.
+RUN_WORDS = 256
+
+#: Rules under which `_PAIRS` are borders: letters, single digits and runs of other signs are split, but for contractions.
+SPLITS = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+NORMALIZES = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, 0x09, 0x0A, 0x0D]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Kinds of bytes: letter, digit, apostrophe, other visible ASCII sign; 0 for the rest, beside which nothing is cut.
+_KINDS = np.array([1 if chr(i).isalpha() else 2 if chr(i).isdigit() else 3 if i == 0x27 else 4 if 0x20 < i < 0x7F else 0 for i in range(128)] + [0] * 128, np.uint8)
+#: Whether a border stands between two kinds, at 5 * first + second. A letter after an apostrophe may be a contraction.
+_PAIRS = np.array([a * b > 0 and (a == 2 or b == 2 or (a == 1) != (b == 1) and (a, b) != (3, 1)) for a in range(5) for b in range(5)])
 
 
 def default_tokenizer_path() -> str:
@@ -72,6 +95,9 @@ class Codec:
 
             self.plain = Tokenizer(self.tok.model)
             self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        marked = all("<|" in t["content"] for t in spec["added_tokens"])  # texts without that hold no added token
+        self.cuts = self.ends is not None and marked and spec["pre_tokenizer"] == SPLITS and spec["normalizer"] == NORMALIZES
+        self.is_end = np.isin(np.arange(self.tok.get_vocab_size()), list(self.ends or ()))
 
     def units(self, text: str) -> list[str]:
         """Stretches between ASCII space, tab, line feed and carriage return; A-Z lowered where the file lowers all letters."""
@@ -148,6 +174,75 @@ class Codec:
         """For each text, the values of its units in order (joined, their ids are the encoding)."""
         return self._values([self.units(t) for t in texts])
 
+    def _pieces(self, data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Pieces whose ids joined are those of the texts data[bounds[i]:bounds[i + 1]], and the number of the first one of each text (and of all)."""
+        solid, first = _SOLID[data], np.zeros(len(data) + 1, bool)
+        first[bounds] = True
+        begins, text = first[:-1].copy(), data
+        begins[1:] |= ~solid[:-1]
+        if self.lowers:
+            text = _LOWER[data]
+        if self.cuts:
+            kinds = _KINDS[data]
+            begins[1:] |= _PAIRS[kinds[:-1] * np.uint8(5) + kinds[1:]]
+        marks = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))  # "<|": added tokens are looked for before lowering
+        for i in np.unique(np.searchsorted(bounds, marks, "right") - 1):
+            a, b = bounds[i], bounds[i + 1]
+            begins[a + 1 : b] = ~solid[a : b - 1]
+            text[a:b] = data[a:b]
+        begins &= solid
+        body = text[solid]
+        offsets = np.append(np.flatnonzero(begins[solid]), len(body)).astype(np.int32)
+        before = np.searchsorted(np.flatnonzero(begins), bounds)
+        return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)]), before
+
+    def _learn_bytes(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces as little-endian uint32; runs of Latin words are cut up at the ids that end a word."""
+        found, latin = {}, []
+        if self.ends is not None:
+            latin = [u for u in new if u.isalpha() and (u.islower() if u.isascii() else max(u) < "\u0250" and u == u.lower()) and len(u) <= self.leaf_chars]
+        runs = [latin[i : i + RUN_WORDS] for i in range(0, len(latin), RUN_WORDS)]
+        for run, ids in zip(runs, self._encode([" ".join(r) for r in runs], self.plain), strict=True):
+            ids = np.array(ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+            if len(cut) == len(run):
+                coded = ids.tobytes()
+                found.update(zip(run, [coded[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
+        rest = [u for u in new if u not in found]
+        found.update((u, self.tree_ids(u)) for u in rest if len(u) > self.leaf_chars)
+        rest = [u for u in rest if len(u) <= self.leaf_chars]
+        found.update(zip(rest, self._encode(rest), strict=True))
+        return [v if isinstance(v := found[u], bytes) else np.array(v, "<u4").tobytes() for u in new]
+
+    def encode_bytes(self, texts: pa.Array) -> Iterator[bytes]:
+        """For each text (none is null) its ids as little-endian uint32. Uses the caches by itself, not together with `encode_units`."""
+        raw = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+        data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(raw):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP_BYTES, "right")) - 1)
+            pieces, before = self._pieces(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            coded = pieces.dictionary_encode()
+            taken = pa.array(self._bytes_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+            ends = np.frombuffer(taken.buffers()[1], np.int64)[before].tolist() if len(taken) else [0] * len(before)
+            ids = taken.buffers()[2].to_pybytes() if len(taken) and taken.buffers()[2] is not None else b""
+            for a, b in zip(ends, ends[1:], strict=False):
+                yield ids[a:b]
+            at = to
+
+    def _bytes_of(self, pieces: list[str]) -> list[bytes]:
+        if len(self.young) > self.cache_units:
+            self.old, self.young = self.young, {}
+        found = list(map(self.young.get, pieces))
+        for at in (missing := [i for i, v in enumerate(found) if v is None]):
+            found[at] = self.old.get(pieces[at])
+        new = [i for i in missing if found[i] is None]
+        for at, v in zip(new, self._learn_bytes([pieces[i] for i in new]), strict=True):
+            found[at] = v
+        self.young.update((pieces[i], found[i]) for i in missing if len(pieces[i]) <= CACHED_UNIT_CHARS)
+        return found
+
     def _placed(self, unit: str, spans: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
         """Tokens of unit[a:b] for each span as (id, start, end) in the unit."""
         self.window_chars += sum(b - a for a, b in spans)

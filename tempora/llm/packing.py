@@ -11,14 +11,12 @@ partitions, so the padding is less than one window for each group.
 from __future__ import annotations
 
 import struct
-import sys
-from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import LEAF_CHARS, Codec, default_tokenizer_path, grouped
+from .bpe import LEAF_CHARS, Codec, default_tokenizer_path
 from .common import doc_texts, staged, table, uncollected
 
 WINDOW = 2048
@@ -86,11 +84,6 @@ class Windows:
         return held, pieces
 
 
-def _packed(ids: list[int]) -> bytes:
-    """Little-endian uint32."""
-    return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
-
-
 def _rows(done, tail_group, is_open) -> pa.RecordBatch:
     cols = list(zip(*((p[0], p[1], len(p[3]) // 4, p[2], seq, at, is_open, tail_group, p[3]) for p, seq, at in done), strict=True)) or [[]] * 9
     kinds = [pa.int64()] * 6 + [pa.bool_(), pa.int64(), pa.binary()]
@@ -111,19 +104,18 @@ def pack_partitions(docs: DataFrame, path: str | None = None, window: int = WIND
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        codec = Codec(path, leaf_chars, form=_packed)
+        codec = Codec(path, leaf_chars)
         end = struct.pack("<I", end_id)
         windows = Windows(window, open_windows, part << 32)
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for at, group in grouped(batch.column("text").to_pylist()):
-                for doc_id, units in zip(ids[at : at + len(group)], codec.encode_units(group), strict=True):
-                    coded = b"".join([*units, end])
-                    windows.add(doc_id, 0, len(coded) // 4, coded)
-                    if len(windows.done) >= 1000:
-                        yield _rows(windows.done, None, False)
-                        windows.done = []
+            for doc_id, coded in zip(ids, codec.encode_bytes(batch.column("text")), strict=True):
+                coded += end
+                windows.add(doc_id, 0, len(coded) // 4, coded)
+                if len(windows.done) >= 1000:
+                    yield _rows(windows.done, None, False)
+                    windows.done = []
         _, pieces = windows.merge()
         yield _rows(windows.done, None, False)
         windows.done = []

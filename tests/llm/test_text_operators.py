@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -56,6 +58,37 @@ def test_small_caches_change_nothing(tok, texts):
         assert [i for u in codec.encode_units([t])[0] for i in u] == ids_of(tok, t)
 
 
+@pytest.mark.parametrize("leaf,most,group", [(1 << 12, 300_000, 1 << 22), (5, 20, 64)])
+def test_pieces_cut_on_bytes_are_exact(tok, texts, monkeypatch, leaf, most, group):
+    monkeypatch.setattr(bpe, "GROUP_BYTES", group)
+    rng = random.Random(5)
+    parts = ["a", "Zb", "'", "'s", "'LL", "'re", "9", "42", ".", ",;", "--", "<", "|", "<|", "<|endoftext|>", " ", "\n", "\t", "\r", "\x0b", "\x0c", "\x00", "\u0338", "\u0301", "é", "É", "Σ", "İ", "ª", "日本", "\u00a0", "\u0085", "٣", "²", "ǆ", "🙂"]
+    rows = [*HARD, *["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(3000)], *[t or "" for _, t in texts[:40]], ""]
+    codec = bpe.Codec(bpe.default_tokenizer_path(), leaf_chars=leaf, cache_units=most)
+    assert codec.cuts
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_bytes(pa.array(["x", *rows], pa.string()).slice(1))] == [ids_of(tok, t) for t in rows]
+    assert list(codec.encode_bytes(pa.array([], pa.string()))) == [] and list(codec.encode_bytes(pa.array(["", " "]))) == [b"", b""]
+
+
+def test_packing_tokenizes_a_word_once_whatever_stands_beside_it(tok, monkeypatch):
+    asked, plain = [], bpe.Codec._encode
+    monkeypatch.setattr(bpe.Codec, "_encode", lambda self, texts, tok=None: asked.extend(w for t in texts for w in t.split(" ")) or plain(self, texts, tok))
+    rows = [f"Word{a}other{b} word" for a in ("", ".", "!?", "***", "123", ",'") for b in ("", ".", "$$$", "2024-11-27", "%", "'")]
+    coded = list(bpe.Codec(bpe.default_tokenizer_path()).encode_bytes(pa.array(rows)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in coded] == [ids_of(tok, t) for t in rows]
+    assert asked.count("word") == asked.count("other") == 1 and len(asked) == len(set(asked))
+
+
+def test_other_tokenizer_files_are_cut_at_white_space_only(tmp_path, texts):
+    spec = json.loads(open(bpe.default_tokenizer_path()).read())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+|[\p{N}]+|[^\s\p{L}\p{N}]+"
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    codec, own = bpe.Codec(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    rows = [*HARD, *[t or "" for _, t in texts[:20]], "2024-11-27 don't"]
+    assert not codec.cuts and [np.frombuffer(x, "<u4").tolist() for x in codec.encode_bytes(pa.array(rows))] == [ids_of(own, t) for t in rows]
+
+
 def test_round_trip_digests(spark, docs, tok, odd, texts):
     rows = odd + [(100 + i, t) for i, t in texts[:20]]
     got = sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.roundtrip_digest(docs(rows)).collect())
