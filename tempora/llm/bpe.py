@@ -42,7 +42,7 @@ CACHE_UNITS = 300_000
 #: Texts are tokenized in groups of about this many characters, to bound a worker's memory.
 GROUP_CHARS = 1 << 20
 #: The same for `encode_bytes`, in bytes.
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 21
 #: The units kept in the cache are at most this long; longer ones hardly repeat.
 CACHED_UNIT_CHARS = 48
 #: Latin words that go to the tokenizer as one text.
