@@ -81,8 +81,8 @@ def salted_join(rows: DataFrame, few: DataFrame, key: str | list[str], by: str,
     return dealt.join(repeated.hint("merge"), [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
 
 
-def maybe_among(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """The rows of `texts` whose doc_id is one of the `n` of `ids`, and few others.
+def maybe_among(rows: DataFrame, ids: DataFrame, n: int, by: str = "doc_id") -> DataFrame:
+    """The rows of `rows` whose column `by` is one of the `n` of `ids`, and few others.
 
     What is broadcast are at most `FILTER_WORDS` words of a Bloom filter (an id
     sets four bits of one word), whatever `n`; more ids let more other rows pass.
@@ -91,10 +91,10 @@ def maybe_among(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     mask = " | ".join(f"shiftleft(1L, cast(shiftright(_hash, {6 * i}) & 63 as int))" for i in range(4))
 
     def marked(df: DataFrame) -> DataFrame:
-        return df.withColumn("_word", F.pmod(F.xxhash64("doc_id"), F.lit(words))).withColumn("_hash", F.xxhash64(F.lit(1), "doc_id")).withColumn("_mask", F.expr(mask))
+        return df.withColumn("_word", F.pmod(F.xxhash64(by), F.lit(words))).withColumn("_hash", F.xxhash64(F.lit(1), by)).withColumn("_mask", F.expr(mask))
 
-    bits = marked(ids.select("doc_id").where("doc_id is not null")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
-    return marked(texts).join(F.broadcast(bits), "_word").where("_bits & _mask = _mask").select(texts.columns)
+    bits = marked(ids.select(by).where(F.col(by).isNotNull())).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    return marked(rows).join(F.broadcast(bits), "_word").where("_bits & _mask = _mask").select(rows.columns)
 
 
 def uncollected(run: Callable) -> Callable:

@@ -2,17 +2,20 @@
 
 1. Each text becomes its set of hashed 5-word shingles (whole text). Texts with
    equal sets (by a 128-bit digest) are one class from here on, so exact copies
-   cost one row each.
+   cost one row each; a class goes by a number, which shuffles in few bytes.
 2. Sketch of a class: 128 buckets by the top bits of a shingle hash; a bucket
    keeps its least remaining hash as a leading-zero count and mantissa bits, in
    32 bits. Registers are banded by fours; 32 bands miss a pair at similarity
    0.75 with a probability of 5e-6. Bands without any register are not used.
-3. Classes that share a band are a group. A group beyond `BLOCK` members (or
-   `BLOCK_SHINGLES`) is hot and dealt to shards; a class enters at most
-   `HOT_GROUPS` of its hot groups, one shard each, so rows stay proportional to
-   the members. In a group or shard, the collision-corrected estimate from the
-   registers drops pairs that lie `SIGMAS` standard errors below the limit, and
-   members without any passing partner leave.
+3. Classes that share a band are a group. Near copies share many bands, so of
+   the groups with the very same members only the one of the least key is kept;
+   a pair is looked at in the group of its least common key, which is never one
+   of those left out. A group beyond `BLOCK` members (or `BLOCK_SHINGLES`) is hot
+   and dealt to shards; a class enters at most `HOT_GROUPS` of its hot groups,
+   one shard each, so rows stay proportional to the members. Registers are
+   fetched for the classes in a group only. In a group or shard, the
+   collision-corrected estimate from the registers drops pairs that lie `SIGMAS`
+   standard errors below the limit, and members without any passing partner leave.
 4. The full sets of the others meet there and come out as links of a spanning
    forest, each verified; what is connected already is not compared again. Two
    dealings to random shards connect a cluster of near copies of any size.
@@ -46,7 +49,7 @@ HOT_GROUPS = 2
 SIGMAS = 5.0
 #: Similarity limit as a fraction: link when PART * union <= WHOLE * intersection.
 PART, WHOLE = 75, 100
-#: This many (class, doc_id) pairs, about 100 bytes each in a broadcast, may be sent whole; beyond it a filter of bounded size goes ahead of a shuffle.
+#: This many wanted classes with name and doc_id, about 100 bytes each in a broadcast, may be sent whole; beyond it a filter of bounded size goes ahead of a shuffle.
 BROADCAST_ROWS = 1 << 16
 
 
@@ -79,24 +82,24 @@ def class_of(codes: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, regs, bands) of every whole text; an empty cls, no registers and no bands without words."""
+    """(doc_id, n_shingles, name, regs, bands) of every whole text; an empty name, no registers and no bands without words."""
 
     def run(batches):
         for batch in batches:
-            n, cls, regs = [], [], []
+            n, name, regs = [], [], []
             for codes in shingle_sets(batch.column("text")):
                 n.append(len(codes))
-                cls.append(class_of(codes))
+                name.append(class_of(codes))
                 regs.append(registers(codes))
             if not n:
                 continue
             keys = band_keys(np.array(regs)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([k[k != 0] for k in keys], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "cls", "regs", "bands"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([k[k != 0] for k in keys], pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "name", "regs", "bands"],
             )
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, cls binary, regs binary, bands array<long>")
+    return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, name binary, regs binary, bands array<long>")
 
 
 def _pass(regs: np.ndarray, filled: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
@@ -110,9 +113,9 @@ def _pass(regs: np.ndarray, filled: np.ndarray, i: int, js: np.ndarray) -> np.nd
 
 
 def _first_here(keys: np.ndarray, band: int, i: int, js: np.ndarray) -> np.ndarray:
-    """Those of `js` that share `band` with member i as the first of their common bands, so that a pair is looked at in one group."""
+    """Those of `js` that share `band` with member i as the least of their common band keys, so that a pair is looked at in one group."""
     same = (keys[js] == keys[i]) & (keys[i] != 0)
-    return js[keys[i][same.argmax(axis=1)] == band]
+    return js[np.where(same, keys[i], np.iinfo(np.int64).max).min(axis=1) == band]
 
 
 def _groups(batches, columns: list[str]) -> Iterator[tuple[int, dict[str, list]]]:
@@ -134,18 +137,12 @@ def _groups(batches, columns: list[str]) -> Iterator[tuple[int, dict[str, list]]
         yield current, held
 
 
-def _numbers(names: list[bytes]) -> np.ndarray:
-    """Equal names by equal numbers."""
-    seen: dict[bytes, int] = {}
-    return np.array([seen.setdefault(x, len(seen)) for x in names])
-
-
 def partners(members: DataFrame) -> DataFrame:
     """(grp, band, side, every, label, cls): the members of each group that pass the estimate with another one of another label.
 
     `members` has grp, band, side, every, label, cls, regs. Where a group has
     both sides, only members of different sides are compared. A pair counts in
-    the first of its common bands only, unless the group is for `every` pair. A member known to have a partner
+    the least of its common bands only, unless the group is for `every` pair. A member known to have a partner
     is compared only with members not known to have one, so groups of near
     copies take time in proportion to their size.
     """
@@ -155,7 +152,7 @@ def partners(members: DataFrame) -> DataFrame:
             n = len(g["cls"])
             regs = np.frombuffer(b"".join(g["regs"]), np.uint32).reshape(n, BUCKETS)
             filled, keys = regs != 0, band_keys(regs).view(np.int64)
-            side, label, has = np.array(g["side"], bool), _numbers(g["label"]), np.zeros(n, bool)
+            side, label, has = np.array(g["side"], bool), np.array(g["label"], np.int64), np.zeros(n, bool)
             apart = side.any() and not side.all()
             for i in range(n - 1):
                 js = np.arange(i + 1, n)
@@ -172,10 +169,10 @@ def partners(members: DataFrame) -> DataFrame:
                     has[i] |= len(js) > 0
             at = np.flatnonzero(has)
             if len(at):
-                columns = [pa.array([grp] * len(at), pa.int64()), pa.array([g["band"][0]] * len(at), pa.int64()), pa.array(side[at]), pa.array([g["every"][0]] * len(at)), pa.array([g["label"][i] for i in at], pa.binary()), pa.array([g["cls"][i] for i in at], pa.binary())]
+                columns = [pa.array([grp] * len(at), pa.int64()), pa.array([g["band"][0]] * len(at), pa.int64()), pa.array(side[at]), pa.array([g["every"][0]] * len(at)), pa.array(label[at]), pa.array([g["cls"][i] for i in at], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["grp", "band", "side", "every", "label", "cls"])
 
-    return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "grp long, band long, side boolean, every boolean, label binary, cls binary")
+    return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "grp long, band long, side boolean, every boolean, label long, cls long")
 
 
 def forest(members: DataFrame) -> DataFrame:
@@ -190,7 +187,7 @@ def forest(members: DataFrame) -> DataFrame:
             n, sizes = len(sets), np.array([len(s) for s in sets])
             regs = np.array([registers(s) for s in sets])
             filled, keys = regs != 0, band_keys(regs).view(np.int64)
-            side, of, links = np.array(g["side"], bool), _numbers(g["label"]), []
+            side, of, links = np.array(g["side"], bool), np.array(g["label"], np.int64), []
             apart = side.any() and not side.all()
             for i in range(n - 1):
                 js = np.arange(i + 1, n)
@@ -209,33 +206,33 @@ def forest(members: DataFrame) -> DataFrame:
                     if WHOLE * common >= PART * (len(s) + len(t) - common):
                         of[of == of[j]] = of[i]
                         links.append((g["cls"][i], g["cls"][j]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a binary, b binary")
+    return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, codes) of the wanted (cls, doc_id) rows, hashed anew from the texts; without a doc_id, texts are found by their class."""
+    """(cls, codes) of the wanted (cls, name, doc_id) rows, hashed anew from the texts; without a doc_id, texts are found by their name."""
     n = wanted.count()
     few = n <= BROADCAST_ROWS
     texts = doc_texts(docs)
-    chosen = (texts.join(F.broadcast(wanted), "doc_id") if few else maybe_among(texts, wanted, n).join(wanted.hint("merge"), "doc_id")).select("cls", "text")
+    chosen = (texts.join(F.broadcast(wanted), "doc_id") if few else maybe_among(texts, wanted, n).join(wanted.hint("merge"), "doc_id")).select("cls", "name", "text")
 
     def run(batches):
         for batch in batches:
-            found = [(c, s) for c, s in zip(batch.column("cls").to_pylist(), shingle_sets(batch.column("text")), strict=True) if class_of(s) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["cls", "codes"])
+            found = [(c, s) for c, name, s in zip(batch.column("cls").to_pylist(), batch.column("name").to_pylist(), shingle_sets(batch.column("text")), strict=True) if class_of(s) == name]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["cls", "codes"])
 
     def every(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["name", "codes"])
 
-    found = chosen.mapInArrow(run, "cls binary, codes binary")
-    nameless = wanted.where("doc_id is null").select("cls")
-    if not nameless.isEmpty():
-        sets = texts.where("doc_id is null").select("text").mapInArrow(every, "cls binary, codes binary")
-        found = found.unionByName(sets.join(F.broadcast(nameless) if few else nameless, "cls", "left_semi"))
+    found = chosen.mapInArrow(run, "cls long, codes binary")
+    without = wanted.where("doc_id is null").select("cls", "name")
+    if not without.isEmpty():
+        sets = texts.where("doc_id is null").select("text").mapInArrow(every, "name binary, codes binary")
+        found = found.unionByName(sets.join(F.broadcast(without) if few else without, "name").select("cls", "codes"))
     return found.dropDuplicates(["cls"])
 
 
@@ -258,6 +255,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def registers_of(sketch: DataFrame, members: DataFrame) -> DataFrame:
+    """(name, regs) of the classes of `members`; of the other rows of `sketch` a bounded filter lets few be shuffled."""
+    names = members.select("name").distinct()
+    return maybe_among(sketch.select("name", "regs"), names, names.count(), "name").groupBy("name").agg(F.first("regs").alias("regs"))
+
+
+def _once(members: DataFrame, block: int) -> DataFrame:
+    """(key, shards): the groups of `members`, but only the least key of those that have one shard and the same members (by 128 bits)."""
+    rows, shingles = F.count("*"), F.sum("n_shingles")
+    shards = F.greatest(F.ceil(rows / block), F.when(rows > 1, F.ceil(shingles / BLOCK_SHINGLES)))
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "cls")).alias(f"mark{i}") for i in (0, 1)]
+    groups = members.groupBy("key").agg(rows.alias("n"), shards.alias("shards"), *marks)
+    hot = F.when(F.col("shards") > 1, F.col("key")).alias("hot")
+    return groups.groupBy("n", "mark0", "mark1", "shards", hot).agg(F.min("key").alias("key")).select("key", "shards")
+
+
 def _dealt(members: DataFrame) -> DataFrame:
     """Members (key, cls, shards, label, regs) as rows of one group or shard each."""
     hot = F.col("shards") > 1
@@ -291,26 +304,24 @@ def _blocks_apart(members: DataFrame, block: int) -> DataFrame:
 def _links(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b), staged: verified links between `members` of a group."""
     met = staged(partners(members), "met")
-    wanted = staged(classes.join(met.select("cls").distinct(), "cls").select("cls", "doc_id"), "wanted")
+    wanted = staged(classes.join(met.select("cls").distinct(), "cls").select("cls", "name", "doc_id"), "wanted")
     return staged(forest(met.join(full_sets(docs, wanted), "cls")), "links")
 
 
-def linked(docs: DataFrame, classes: DataFrame, members: DataFrame, regs: DataFrame, block: int) -> DataFrame:
+def linked(docs: DataFrame, classes: DataFrame, members: DataFrame, sketch: DataFrame, block: int) -> DataFrame:
     """(node, label) of the classes that are linked with any other; `members` has key, cls, n_shingles."""
-    rows, shingles = F.count("*"), F.sum("n_shingles")
-    sizes = members.groupBy("key").agg(F.greatest(F.ceil(rows / block), F.when(rows > 1, F.ceil(shingles / BLOCK_SHINGLES))).alias("shards"))
-    members = staged(salted_join(members, sizes, "key", "cls"), "sized")
+    members = staged(salted_join(members, _once(members, block), "key", "cls").join(classes.select("cls", "name"), "cls"), "sized")
     hot = members.where("shards > 1")
     few = Window.partitionBy("cls").orderBy(F.xxhash64("key"), "key")  # 32 rows at most
     some = hot.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= HOT_GROUPS).drop("nth")
     first = members.where("shards = 1").unionByName(some)
-    labels = components(_links(docs, classes, _dealt(first.withColumn("label", F.col("cls")).join(regs, "cls"))))
+    labels = components(_links(docs, classes, _dealt(first.withColumn("label", F.col("cls")).join(registers_of(sketch, first), "name"))))
     now = staged(hot.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
     several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     rest = staged(salted_join(now, several, "key", "cls"), "open")
     if rest.isEmpty():
         return labels
-    links = _links(docs, classes, _blocks_apart(rest.join(regs, "cls"), block))
+    links = _links(docs, classes, _blocks_apart(rest.join(registers_of(sketch, rest), "name"), block))
     for end in ("a", "b"):
         names = labels.select(F.col("node").alias(end), F.col("label").alias("to"))
         links = links.join(names, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
@@ -331,20 +342,21 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     other than doc_id and text are not read.
     """
     sketch = staged(sketches(docs), "sketches")
-    kept = [F.first(c).alias(c) for c in ("n_shingles", "regs", "bands")]
-    one = staged(sketch.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *kept), "classes")
-    classes = one.select("cls", "doc_id", "copies")
+    kept = [F.first(c).alias(c) for c in ("n_shingles", "bands")]
+    named = sketch.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *kept)
+    one = staged(named.withColumn("cls", F.monotonically_increasing_id()), "classes")  # a number stays once it is written
+    classes = one.select("cls", "name", "doc_id", "copies")
     banded = one.select("cls", F.explode("bands").alias("key"))
     groups = banded.groupBy("key").count().where("count > 1").select("key")
     members = salted_join(banded, groups, "key", "cls").join(one.select("cls", "n_shingles"), "cls")
-    labels = linked(docs, classes, members, one.select("cls", "regs"), block)
+    labels = linked(docs, classes, members, sketch, block)
     # From the least class reachable to the least doc_id reachable.
     of = classes.join(labels.withColumnRenamed("node", "cls"), "cls").select("cls", "label", "doc_id")
     least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = salted_join(of, least, "label", "cls").select("cls", "component_id")
     # Only classes of several rows or links differ from their own doc_id.
-    differ = classes.join(named, "cls", "left").where("copies > 1 or component_id is not null").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"), F.lit(True).alias("joined"))
-    out = salted_join(sketch.select("doc_id", "n_shingles", "cls"), staged(differ, "named"), "cls", "doc_id", how="left")
+    differ = classes.join(named, "cls", "left").where("copies > 1 or component_id is not null").select("name", F.coalesce("component_id", "doc_id").alias("component_id"), F.lit(True).alias("joined"))
+    out = salted_join(sketch.select("doc_id", "n_shingles", "name"), staged(differ, "named"), "name", "doc_id", how="left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 

@@ -273,6 +273,17 @@ def test_near_duplicates_in_a_hot_group_of_unlinked_clusters(spark, docs):
     assert got == brute_links(rows)
 
 
+def test_near_copies_that_share_many_bands_meet_once(spark, docs, monkeypatch):
+    rows = []
+    for k in range(20):
+        words = [f"p{k}-{i}" for i in range(200)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "end"]))]
+    sent, partners = [], minhash.partners
+    monkeypatch.setattr(minhash, "partners", lambda members: sent.append(members.count()) or partners(members))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs(rows)).collect()}
+    assert got == brute_links(rows) and sent == [40]
+
+
 def test_repeated_rows_are_never_broadcast(spark, capsys):
     few = spark.range(1000).withColumnRenamed("id", "key")  # 8 kB by Spark's estimate, 16 times as much when repeated
     rows = spark.range(5000).select((F.col("id") % 2000).alias("key"), F.col("id").alias("by"))
